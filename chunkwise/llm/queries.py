@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,8 +30,53 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_languages, predict_languages
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    found = predict_languages(docs, learn_languages(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_rules
+
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, _read(spark, sf_dir, "labels")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_language_id": op2_language_id,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
 }
-ORACLE: dict[str, str] = {}
+
+#: Lower-case words and the distinct five-word shingles of ``table`` (id, text), as used by op8's SQL.
+_SHINGLES = """
+{name}_words AS (
+  SELECT {id} AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM {table} WHERE text IS NOT NULL AND {id} IS NOT NULL),
+{name} AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+  FROM {name}_words WHERE len(w) > 0)"""
+
+ORACLE: dict[str, str] = {
+    "op8_decontaminate": "WITH"
+    + _SHINGLES.format(name="d", id="doc_id", table="documents")
+    + ","
+    + _SHINGLES.format(name="b", id="item_id", table="benchmark")
+    + """,
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+p AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared / n AS containment
+FROM p JOIN n ON n.id = p.item_id WHERE 100 * n_shared >= 80 * n""",
+}
