@@ -52,12 +52,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import link_quotes
+
+    return link_quotes(_read(spark, sf_dir, "conversations"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_report
+
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_language_id": op2_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op7_quotation_links": op7_quotation_links,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: Lower-case words and the distinct five-word shingles of ``table`` (id, text), as used by op8's SQL.
@@ -79,4 +93,26 @@ n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
 p AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared / n AS containment
 FROM p JOIN n ON n.id = p.item_id WHERE 100 * n_shared >= 80 * n""",
+    "op7_quotation_links": r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM conversations),
+p AS (SELECT conv_id, turn, role, list_transform(l, lambda x: {'level': length(regexp_replace(regexp_extract(x, '^( ?>)+'), '[^>]', '', 'g')), 'body': regexp_replace(x, '^( ?>)+ ?', '')}) AS l FROM m),
+q AS (SELECT conv_id, turn, role, list_transform(l, lambda x, i: {'level': x.level, 'body': x.body, 'announces': regexp_matches(x.body, '^(On|Le|Am|El) .{0,200}:\s*$') AND coalesce(l[i + 1].level, 0) > x.level}) AS l FROM p),
+lines AS (SELECT DISTINCT conv_id, turn, x.level AS level, trim(regexp_replace(lower(x.body), '\s+', ' ', 'g'), ' ') AS norm FROM (SELECT conv_id, turn, unnest(l) AS x FROM q) WHERE NOT x.announces),
+first AS (SELECT conv_id, norm, min(turn) AS from_turn FROM lines WHERE level = 0 AND norm <> '' GROUP BY ALL),
+votes AS (SELECT conv_id, turn, from_turn, count(*) AS n FROM lines JOIN first USING (conv_id, norm) WHERE level = 1 AND from_turn < turn GROUP BY ALL),
+parent AS (SELECT conv_id, turn, arg_max(from_turn, n * 1000000 + from_turn) AS parent, sum(n) AS n_linked FROM votes GROUP BY ALL),
+thread AS (
+  SELECT DISTINCT m.conv_id, m.turn, 0 AS depth, format('{:08d}', m.turn) AS path FROM m ANTI JOIN parent USING (conv_id, turn)
+  UNION ALL SELECT parent.conv_id, parent.turn, depth + 1, path || '/' || format('{:08d}', parent.turn) FROM thread JOIN parent ON parent.conv_id = thread.conv_id AND parent.parent = thread.turn)
+SELECT q.conv_id, q.turn, role,
+  regexp_replace(array_to_string(list_transform(list_filter(l, lambda x: x.level = 0 AND NOT x.announces), lambda x: x.body), chr(10)), '^\s*\n|\s+$', '', 'g') AS reply,
+  len(list_filter(l, lambda x: x.level > 0))::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, parent AS parent_turn, depth::BIGINT AS depth, path
+FROM q LEFT JOIN parent USING (conv_id, turn) JOIN thread USING (conv_id, turn)""",
+    "op10_line_dedup": r"""
+WITH l AS (SELECT doc_id, source, i AS pos, trim(lines[i], ' ') AS line FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents))),
+boiler AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 10),
+gone AS (SELECT doc_id, list(pos) AS ats FROM l JOIN boiler USING (line) WHERE (doc_id, pos) <> first GROUP BY doc_id)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(ats), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(lines, lambda x, i: NOT coalesce(list_contains(ats, i), false)), chr(10))) AS kept_sha256
+FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) LEFT JOIN gone USING (doc_id)""",
 }
