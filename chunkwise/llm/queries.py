@@ -52,6 +52,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quotes import link_quotes
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_language_id": op2_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
     "op7_quotation_links": op7_quotation_links,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
