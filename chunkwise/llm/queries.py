@@ -45,6 +45,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import without_repeats
+
+    return without_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, quality_rules
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_repeated_spans": op4_repeated_spans,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_text": op6_html_text,
     "op7_quotation_links": op7_quotation_links,
