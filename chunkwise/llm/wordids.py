@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .bytesets import LOWER, ragged, word_hashes
+from .bytesets import LOWER, prefix_hashes, ragged, span_hashes, word_spans
+
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 #: The memory of encoded words is emptied beyond this many, which costs time only.
 MOST_WORDS = 600_000
@@ -38,7 +42,8 @@ class WordIds:
         """For each word of the texts its number, and the bounds of the texts among the words."""
         if not self.marked(data):
             data = LOWER[data]
-        hashes, starts, ends, bounds = word_hashes(data, offsets)
+        starts, ends, bounds = self.pieces(data, offsets)
+        hashes = span_hashes(prefix_hashes(data), starts, ends)
         order = np.argsort(hashes)
         ordered = hashes[order]
         change = np.ones(len(order), bool)
@@ -56,6 +61,21 @@ class WordIds:
             known.update(zip(unique[new].tolist(), numbers[new].tolist(), strict=True))
         return numbers[inverse], bounds
 
+    @staticmethod
+    def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, but a last "." or "," after A-Z or a-z is a piece of its own, as it is to the pre-tokenizer."""
+        starts, ends, bounds = word_spans(data, offsets)
+        tail = np.flatnonzero((ends - starts > 1) & _STOP[data[ends - 1]])
+        tail = tail[_LETTER[data[ends[tail] - 2]]]
+        counts = np.ones(len(starts), np.int64)
+        counts[tail] = 2
+        at = np.concatenate([[0], np.cumsum(counts)])
+        begin, end = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64)
+        begin[at[:-1]], end[at[:-1]] = starts, ends
+        end[at[tail]] = begin[at[tail] + 1] = ends[tail] - 1
+        end[at[tail] + 1] = ends[tail]
+        return begin, end, at[bounds]
+
     @staticmethod
     def marked(data: np.ndarray) -> bool:
         """Whether a special token may be near: only then does the case of A-Z matter."""
