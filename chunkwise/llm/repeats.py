@@ -138,7 +138,7 @@ def repeat_groups(lefts: list[bytes], rights: list[bytes], length: int = LENGTH)
     out = []
     by_left = None
     for d, first, last in prefix_intervals(common):
-        need = length - d
+        need = max(0, length - d)
         members = order[first : last + 1]
         if len(members) > 2:
             if by_left is None:
