@@ -12,7 +12,7 @@ def stream_chunks(events: DataFrame, time: str, keys: list[str], value: str, len
     Windows are aligned to the epoch.  Runs on batch rows too, where the watermark has no effect.
     """
     w = F.window(time, length, stride)
-    found = events.withWatermark(time, late).groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.var_pop(value).alias("variance"))
+    found = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.var_pop(value).alias("variance"))
     return found.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean", "least", "most", "variance")
 
 
