@@ -5,8 +5,9 @@ Texts with the same set are one class.  Similar classes form groups; the
 matrix says which tokens (shingles) each group has in its members' prefixes:
 of the tokens in order of frequency, the rarest ``n - ceil(t * n) + 1``, one of
 which any two similar sets share.  A query meets the groups of other
-components that share a prefix token; only groups whose token union holds at
-least ``t`` of the query are opened, and their members compared.
+components that share as many prefix tokens as their sizes ask for; only
+groups whose token union holds at least ``t`` of the query are opened, and
+their members compared.
 
 Groups come from a first round that compares each class with one leader, so
 a large group of near copies is found by as many comparisons as it has
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U64, mix
-from .common import chunks, partitions, small_batches, written
+from .common import CHUNK_BYTES, chunks, partitions, small_batches, written
 from .components import components
 from .decontaminate import text_sets
 
@@ -124,38 +126,49 @@ def _fits(a: str, b: str, threshold: int) -> Column:
     return (F.lit(100) * F.least(a, b)) >= F.lit(threshold) * F.greatest(a, b)
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, set) of the classes ``ids`` (rep, s1), from their representatives' texts."""
+def _share(a: str, b: str, threshold: int) -> Column:
+    """How many prefix tokens two sets of these sizes share at least, if they are similar.
+
+    Up to the end of the earlier of the two prefixes all their common tokens are in both; beyond it at most the
+    rest of one set is common.
+    """
+    kept = lambda n: F.ceil(F.lit(threshold) * F.col(n) / F.lit(100.0))
+    both = F.ceil(F.lit(threshold) * (F.col(a) + F.col(b)) / F.lit(100.0 + threshold) - 1e-9)
+    return F.greatest(F.lit(1), both - F.greatest(kept(a), kept(b)) + 1)
+
+
+def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the classes ``ids`` (rep, s1), compressed: a text takes a third of its set's bytes, and gives the set again."""
     small = ids.count() <= MOST_IDS
     rows = _texts(docs).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for table in chunks(batches):
-            keep = [(r, s.tobytes()) for r, s1, s in zip(table["rep"].to_pylist(), table["s1"].to_pylist(), text_sets(table["text"]), strict=True) if signature(s)[0] == s1]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["rep", "set"])
+            keep = [(r, squeeze(t.encode())) for r, s1, t, s in zip(table["rep"].to_pylist(), table["s1"].to_pylist(), table["text"].to_pylist(), text_sets(table["text"]), strict=True) if signature(s)[0] == s1]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in keep], pa.int64()), pa.array([t for _, t in keep], pa.binary())], ["rep", "text"])
 
-    return rows.mapInArrow(run, "rep long, set binary")
+    return rows.mapInArrow(run, "rep long, text binary").dropDuplicates(["rep"])
 
 
-def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def open_groups(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Links (u, v) between queries and members of the groups they are paired with.
 
-    ``pairs`` (q, g), ``members`` (g, rep), ``sets`` (rep, set).  A group's
+    ``pairs`` (q, g), ``members`` (g, rep), ``texts`` (rep, text).  A group's
     members come once for every QUERIES of its queries, ahead of them, so no
     task gathers a popular group's queries and no pair carries a group.
     """
     copies = pairs.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
     asked = pairs.join(copies, "g").select("g", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("rep"))
     held = members.join(copies, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rep")
-    rows = asked.unionByName(held).join(sets, "rep").select("g", "copy", "kind", "rep", "set")
+    rows = asked.unionByName(held).join(texts, "rep").select("g", "copy", "kind", "rep", "text")
     rows = rows.repartition(partitions(pairs.sparkSession), "g", "copy").sortWithinPartitions("g", "copy", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, union = None, [], None
         for batch in batches:
             links = []
-            for g, copy, kind, rep, data in zip(*(batch[c].to_pylist() for c in ("g", "copy", "kind", "rep", "set")), strict=True):
-                s = np.frombuffer(data, U64)
+            for g, copy, kind, rep, s in zip(*(batch[c].to_pylist() for c in ("g", "copy", "kind", "rep")), _sets_of(batch["text"]), strict=True):
                 if (g, copy) != at:
                     at, group, union = (g, copy), [], None
                 if kind == 0:
@@ -177,6 +190,20 @@ def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, threshold
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of compressed texts, some millions of characters at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    held, size = [], 0
+    for text in column:
+        held.append(expand(text.as_py()))
+        size += len(held[-1])
+        if size >= CHUNK_BYTES:
+            yield from text_sets(pa.chunked_array([pa.array(held, pa.binary()).cast(pa.string())]))
+            held, size = [], 0
+    if held:
+        yield from text_sets(pa.chunked_array([pa.array(held, pa.binary()).cast(pa.string())]))
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -199,15 +226,16 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     tokens = reps.select("rep", "n", F.explode("tokens").alias("token"))
 
     # first round: each class and the leader of most of its tokens
-    lists = tokens.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n")).alias("first")).where("k > 1")
-    shared = written(tokens.join(lists, "token").select("token", "rep", "n", "k", "first"), "shared")
-    led = shared.where(F.col("rep") != F.col("first.rep")).where(_fits("n", "first.n", threshold))
-    votes = led.groupBy("rep", F.col("first.rep").alias("g")).agg(F.count("*").alias("votes"))
+    twice = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    shared = written(tokens.join(twice, "token"), "shared")
+    first = shared.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("first"))
+    led = shared.join(first, "token").where(F.col("rep") != F.col("first.rep")).where(_fits("n", "first.n", threshold))
+    votes = led.groupBy("rep", F.col("first.rep").alias("g"), "n", F.col("first.n").alias("of")).agg(F.count("*").alias("votes")).where(F.col("votes") >= _share("n", "of", threshold))
     star = written(votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("g")).alias("g"))).alias("best")).select(F.col("rep").alias("q"), (-F.col("best.g")).alias("g")), "stars")
     ids = star.select(F.col("q").alias("rep")).unionByName(star.select(F.col("g").alias("rep"))).distinct()
     keys = reps.select("rep", "s1")
-    sets = written(needed_sets(docs, keys.join(ids, "rep")), "needed")
-    links = written(open_groups(star, star.select("g", F.col("g").alias("rep")).distinct(), sets, threshold), "links")
+    texts = written(needed_texts(docs, keys.join(ids, "rep")), "needed")
+    links = written(open_groups(star, star.select("g", F.col("g").alias("rep")).distinct(), texts, threshold), "links")
 
     # second round: across the components found so far, by the token-group matrix
     found = components(links)
@@ -221,12 +249,14 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     spans = grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = open_tokens.select("token", "rep").join(grouped.select("rep", "g", "component"), "rep").select("token", "g", F.col("component").alias("of")).distinct().join(spans, "g")
     wide = (F.lit(100) * F.col("n") >= F.lit(threshold) * F.col("least")) & (F.lit(100) * F.col("most") >= F.lit(threshold) * F.col("n"))
-    pairs = open_tokens.join(matrix, "token").where((F.col("of") < F.col("component")) & wide).select(F.col("rep").alias("q"), "g").distinct()
+    pairs = open_tokens.join(matrix, "token").where((F.col("of") < F.col("component")) & wide)
+    pairs = pairs.groupBy(F.col("rep").alias("q"), "g", "n", "least", "most").agg(F.count("*").alias("common"))
+    pairs = pairs.where(F.col("common") >= F.least(_share("n", "least", threshold), _share("n", "most", threshold))).select("q", "g")
     pairs = written(pairs, "pairs")
     members = grouped.select("g", "rep").join(pairs.select("g").distinct(), "g", "left_semi")
-    ids = pairs.select(F.col("q").alias("rep")).unionByName(members.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
-    more = written(sets.unionByName(needed_sets(docs, keys.join(ids, "rep"))), "needed")
-    links = links.unionByName(open_groups(pairs, members, more, threshold))
+    ids = pairs.select(F.col("q").alias("rep")).unionByName(members.select("rep")).distinct().join(texts.select("rep"), "rep", "left_anti")
+    more = written(needed_texts(docs, keys.join(ids, "rep")), "needed")
+    links = links.unionByName(open_groups(pairs, members, texts.unionByName(more), threshold))
 
     final = components(links)
     named = reps.select("s1", "s2", "rep").join(final.withColumnRenamed("u", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
