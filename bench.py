@@ -24,7 +24,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         runs = []
-        for _ in range(int(os.environ.get("BENCH_RUNS", "2"))):  # the first warms up
+        for _ in range(int(os.environ.get("BENCH_RUNS", "2")) if name in HEADLINE else 1):  # the first warms up
             began = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)

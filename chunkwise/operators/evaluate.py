@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import running_sums
+from .prefix import exact_percentiles, running_sums
 
 
 def confusion(truth, predicted) -> list[Column]:
@@ -31,11 +31,7 @@ def auc(rows: DataFrame, truth: str, score: str, by: list[str] | None = None, em
     """Area under the ROC curve, ties counted half; ``empty`` if a class has no rows.  Per ``by`` if given."""
     by = by or []
     counts = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        below = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    else:
-        below = running_sums(counts, score, {"below": "neg"})
+    below = running_sums(counts, score, {"below": "neg"}, by=by)
     out = below.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0))).alias("__won"))
     value = F.coalesce(F.try_divide(F.col("__won"), F.col("n_pos").cast("double") * F.col("n_neg")), F.lit(empty))
     return out.withColumn("auc", value).drop("__won")
@@ -47,7 +43,7 @@ def best_threshold(rows: DataFrame, truth: str, score: str) -> DataFrame:
     Scores are counted by value; cumulative counts give each threshold's confusion, so no row meets every threshold.
     """
     some = rows.where(F.col(score).isNotNull())
-    grid = some.agg(F.percentile(score, [i / 100 for i in range(1, 100)]).alias("p")).select(F.explode(F.array_distinct("p")).alias("threshold"))
+    grid = exact_percentiles(some, score, [i / 100 for i in range(1, 100)]).select(F.explode(F.array_distinct("percentiles")).alias("threshold"))
     counts = some.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
     zero = F.lit(0).cast("long")
     both = counts.select("s", "pos", "neg", F.lit(0).alias("kind")).unionByName(grid.select(F.col("threshold").alias("s"), zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("kind")))

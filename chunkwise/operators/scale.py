@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chunkwise import spec
 
+from .prefix import exact_percentiles
+
 
 def observed(rows: DataFrame, names: list[str]) -> DataFrame:
     """(feature, value) of the observed values of wide rows."""
@@ -17,11 +19,12 @@ def observed(rows: DataFrame, names: list[str]) -> DataFrame:
 def baseline(rows: DataFrame, names: list[str], values: bool = False) -> DataFrame:
     """feature, n, mean, std (population) and percentiles; with ``values`` also the sorted values, for percentile ranks."""
     marks = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    aggs = [F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", list(marks.values())).alias("__p")]
+    long = observed(rows, names)
+    aggs = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
     if values:
         aggs.append(F.sort_array(F.collect_list("value")).alias("sorted_values"))
-    out = observed(rows, names).groupBy("feature").agg(*aggs)
-    return out.select("feature", "n", "mean", "std", *[F.col("__p")[i].alias(p) for i, p in enumerate(marks)], *(["sorted_values"] if values else []))
+    out = long.groupBy("feature").agg(*aggs).join(exact_percentiles(long, "value", list(marks.values()), ["feature"]), "feature")
+    return out.select("feature", "n", "mean", "std", *[F.col("percentiles")[i].alias(p) for i, p in enumerate(marks)], *(["sorted_values"] if values else []))
 
 
 def ranks_in_baseline(rows: DataFrame, base: DataFrame) -> DataFrame:
@@ -42,12 +45,13 @@ def ranks_in_baseline(rows: DataFrame, base: DataFrame) -> DataFrame:
 
 def scaler(rows: DataFrame, names: list[str]) -> DataFrame:
     """One row with center and scale of each feature: median and p75 - p25, 1 where that is under 1e-8."""
+    found = exact_percentiles(observed(rows, names), "value", [0.25, 0.5, 0.75], ["feature"])
     aggs = []
     for n in names:
-        p = F.percentile(n, [0.25, 0.5, 0.75])
+        p = F.max(F.when(F.col("feature") == n, F.col("percentiles")))
         width = p[2] - p[0]
         aggs += [F.coalesce(p[1], F.lit(0.0)).alias(f"{n}__center"), F.when(width >= 1e-8, width).otherwise(1.0).alias(f"{n}__scale")]
-    return rows.agg(*aggs)
+    return found.agg(*aggs)
 
 
 def scaled(rows: DataFrame, names: list[str], fitted: DataFrame, fill: bool = False) -> DataFrame:
@@ -73,5 +77,8 @@ def with_masks(rows: DataFrame, names: list[str], modality: str) -> DataFrame:
 
 def threshold(scores: DataFrame, score: str, percentile: float = spec.THRESHOLD_PERCENTILE) -> DataFrame:
     """threshold (largest score + 1e-8 if the percentile isn't positive), mean, median and largest score, number."""
-    p = F.percentile(score, percentile)
-    return scores.agg(F.when(p > 0, p).otherwise(F.max(score) + 1e-8).alias("threshold"), F.avg(score).alias("mean_score"), F.percentile(score, 0.5).alias("median_score"), F.max(score).alias("max_score"), F.count(score).alias("n"))
+    found = exact_percentiles(scores, score, [percentile, 0.5])
+    stats = scores.agg(F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.count(score).alias("n"))
+    p = F.col("percentiles")[0]
+    out = stats.join(F.broadcast(found.select("percentiles")), how="left")
+    return out.select(F.when(p > 0, p).otherwise(F.col("max_score") + 1e-8).alias("threshold"), "mean_score", F.col("percentiles")[1].alias("median_score"), "max_score", "n")

@@ -12,6 +12,7 @@ from chunkwise.functions import arrays as A
 from chunkwise.functions import scalar as S
 from chunkwise.functions import text as T
 from chunkwise.operators import assemble, evaluate, features, retrieve, scale, score, segment, split
+from chunkwise.operators.prefix import exact_percentiles
 
 from . import fixtures as X
 from .prompt import prompts
@@ -412,7 +413,7 @@ def _chunk_scores(spark, sf) -> DataFrame:
     names = ["mean_value", "max_flicker", "flicker_variance"]
     fitted = scale.scaled(flick, names, scale.scaler(flick, names), fill=True)
     rows = fitted.withColumn("score", F.round(score.masked_mean_square(names, [f"{n}__seen" for n in names]), 6))
-    limit = rows.agg(F.round(F.percentile("score", 0.95), 6).alias("threshold"))
+    limit = exact_percentiles(rows, "score", [0.95]).select(F.round(F.col("percentiles")[0], 6).alias("threshold"))
     return rows.join(F.broadcast(limit)).select("user_id", "chunk_id", "start_sec", "end_sec", "score", "threshold", S.level(S.normalized_score("score", "threshold")).alias("level"))
 
 

@@ -253,3 +253,20 @@ def test_stream_chunks_equal_the_batch(spark, sf_dir, tmp_path):
     got = {(r["user_id"], r["start"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {(r["user_id"], r["start"]): r["n"] for r in streams.stream_chunks(events, "ts", ["user_id"], "value").collect()}
     assert got and got.items() <= batch.items() and spec.STRIDE_SEC == 2.0
+
+
+def test_exact_percentiles(spark):
+    from chunkwise.operators.prefix import exact_percentiles
+
+    random = np.random.default_rng(5)
+    data = {"a": np.round(random.normal(size=301), 1), "b": random.random(7), "c": np.array([2.5])}
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    got = {r["g"]: r for r in exact_percentiles(df, "v", shares, ["g"]).collect()}
+    assert set(got) == set(data)
+    for g, vs in data.items():
+        assert got[g]["n"] == len(vs) and got[g]["percentiles"] == pytest.approx(list(np.quantile(vs, shares)))
+    [every] = exact_percentiles(df, "v", shares).collect()
+    assert every["percentiles"] == pytest.approx(list(np.quantile(np.concatenate(list(data.values())), shares)))
+    assert exact_percentiles(df.where("g = 'd'"), "v", shares).count() == 0
