@@ -318,3 +318,19 @@ def test_html_of_all_pages(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         article = re.search("<article>(.*)</article>", r["html"], re.S)[1]
         assert html.main_text(r["html"]) == " ".join(unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split())
+
+
+def test_crowded_passages(spark, monkeypatch):
+    """Passages a little shorter and longer than a window in many documents, with and without equal surroundings."""
+    monkeypatch.setattr(repeats, "CROWD", 2)
+    random = np.random.default_rng(11)
+    text = lambda n: "".join(random.choice(list("abcdefgh ij"), n))
+    passages = [text(n) for n in (360, 395, 399, 400, 401, 430, 700)]
+    rows = []
+    for i in range(60):
+        near = passages[i % 7]
+        rows.append((i, text(int(random.integers(0, 300))) + near[int(random.integers(0, 30)) if i % 5 == 0 else 0 :] + text(int(random.integers(0, 300)))))
+    rows += [(100 + i, passages[6][:380] + text(30) + passages[6][390:]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(repeats.without_repeats(df, with_text=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    assert by(tuple(x[:4]) + (bytes(x[4]),) for x in got) == by(brute.repeats(rows))
