@@ -258,12 +258,23 @@ def _spans_of_crowds(contexts: DataFrame) -> DataFrame:
 
     def repeated(rows: DataFrame) -> DataFrame:
         twice = rows.groupBy("h", "back", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(twice, ["h", "back", "string"])
-
-    coarse = written(crowd.mapInArrow(lambda x: strings(x, False), schema), "crowd-strings")
-    near = written(repeated(coarse).groupBy(*place).agg(F.sort_array(F.collect_set("back")).alias("backs")), "crowd-near")
-    fine = written(crowd.join(near, place).mapInArrow(lambda x: strings(x, True), schema), "crowd-windows")
-    found = repeated(fine).where("single").groupBy(*place).agg(F.max("back").alias("most"), F.min("back").alias("least"))
+        return rows.join(written(twice, "crowd-twice"), ["h", "back", "string"])
+
+    def tested(wanted: DataFrame) -> DataFrame:
+        """The largest and least start of a repeated window of each single class, among the STEPs of ``wanted``."""
+        some = near.join(written(wanted.select("h", "back", "string").distinct(), "crowd-wanted"), ["h", "back", "string"])
+        backs = written(some.groupBy(*place).agg(F.sort_array(F.collect_set("back")).alias("backs")), "crowd-backs")
+        fine = written(crowd.join(backs, place).mapInArrow(lambda x: strings(x, True), schema), "crowd-windows")
+        return repeated(fine).where("single").groupBy(*place).agg(F.max("back").alias("most"), F.min("back").alias("least"))
+
+    near = written(repeated(written(crowd.mapInArrow(lambda x: strings(x, False), schema), "crowd-strings")), "crowd-near")
+    # only the first and the last windows matter: the outermost STEPs come first, the others only where those have none
+    ends = near.where("single").groupBy(*place).agg(F.max("back").alias("top"), F.min("back").alias("bottom"))
+    asked = written(near.where("single").join(ends, place), "crowd-asked")
+    outer = written(tested(asked.where("back = top or back = bottom")), "crowd-found")
+    rest = asked.join(outer, place, "left").where(F.col("most").isNull() | (F.col("most") < F.col("top")) | (F.col("least") >= F.col("bottom") + STEP))
+    inner = tested(rest.where("back <> top and back <> bottom"))
+    found = outer.unionByName(inner).groupBy(*place).agg(F.max("most").alias("most"), F.min("least").alias("least"))
     return found.select("key", "copy", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end"))
 
 
@@ -275,7 +286,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _repeated_spans(keyed: DataFrame) -> DataFrame:
     anchors = written(find_anchors(keyed), "anchors", compression="zstd")
     twice = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    met = written(anchors.join(twice.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "met", compression="zstd")
+    # as a table of its own, its join with the anchors can be split where an anchor is very common
+    twice = written(twice.select("h", (F.col("low") != F.col("high")).alias("mixed")), "twice")
+    met = written(anchors.join(twice, "h"), "met", compression="zstd")
     classes = met.groupBy("h", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("key", "copy", "pos")).alias("first"))
     classes = written(classes.where("n > 1 or mixed"), "classes")
     whole = met.join(classes.where("n > 1").select("h", "context"), ["h", "context"], "left_semi")
