@@ -25,6 +25,8 @@ from .common import chunks, partitions, raw, small_batches, written
 from .wordids import WordIds
 
 BLOCKS = "kind string, shard int, block int, start long, n_ids long, doc_ids binary, counts binary, control binary, data binary"
+#: Bytes of text that are encoded at once, and make a block.
+CHUNK = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 _SHIFTS = np.arange(4, dtype=np.uint8) * 2
 #: For each control byte, the byte lengths of its four values.
@@ -92,7 +94,7 @@ def _block(kind: str, shard: int, block: int, start: int, n: int, docs: bytes, c
 
 
 def encode_blocks(docs: DataFrame, vocabulary: str, end_id: int, by: Column | None = None) -> DataFrame:
-    """Blocks with plain 32-bit ids in ``data``, and a row of kind "used" for each shard with its ids' counts.
+    """Blocks with plain ids of 16 or 32 bits in ``data``, and a row of kind "used" for each shard with its ids' counts.
 
     One shuffle: range partitions by doc_id, so shard and block order is doc_id order.
     """
@@ -105,7 +107,7 @@ def encode_blocks(docs: DataFrame, vocabulary: str, end_id: int, by: Column | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, shard, start, block = word_tokenizer(vocabulary), TaskContext.get().partitionId(), 0, 0
         used = np.zeros(1 << 16, np.int64)
-        for table in chunks(batches):
+        for table in chunks(batches, most=CHUNK):
             if memory.full():
                 memory.clear()
             words = memory.words(*raw(table["text"]))
@@ -117,7 +119,7 @@ def encode_blocks(docs: DataFrame, vocabulary: str, end_id: int, by: Column | No
             seen = np.bincount(ids, minlength=len(used))
             used = np.concatenate([used, np.zeros(len(seen) - len(used), np.int64)]) + seen
             docs_of = table["doc_id"].fill_null(int(NULL_ID)).to_numpy().astype("<i8")
-            yield _block("ids", shard, block, start, len(ids), docs_of.tobytes(), counts.astype("<i8").tobytes(), b"", ids.astype("<u4").tobytes())
+            yield _block("ids", shard, block, start, len(ids), docs_of.tobytes(), counts.astype("<i8").tobytes(), b"", ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
             start, block = start + len(ids), block + 1
         some = np.flatnonzero(used)
         if len(some):
@@ -153,7 +155,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                control, data = pack(rank[np.frombuffer(row["data"], "<u4")])
+                control, data = pack(rank[np.frombuffer(row["data"], f"<u{len(row['data']) // row['n_ids']}")])
                 yield _block("ids", row["shard"], row["block"], row["start"], row["n_ids"], row["doc_ids"], row["counts"], control, data)
 
     spark = docs.sparkSession

@@ -28,8 +28,8 @@ class WordIds:
     that are new since the last flush; ``texts`` then gives the texts' ids.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = MOST_WORDS):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -52,7 +52,7 @@ class WordIds:
         inverse = np.empty(len(order), np.int32)
         inverse[order] = np.cumsum(change, dtype=np.int32) - 1
         known, get = self.known, self.known.get
-        numbers = np.fromiter((get(h, -1) for h in unique.tolist()), np.int32, len(unique))
+        numbers = np.array([get(h, -1) for h in unique.tolist()], np.int32)
         new = np.flatnonzero(numbers < 0)
         if len(new):
             text = data.tobytes()
@@ -89,7 +89,7 @@ class WordIds:
             self.new = []
 
     def full(self) -> bool:
-        return len(self.known) > MOST_WORDS
+        return len(self.known) > self.most
 
     def texts(self, numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
