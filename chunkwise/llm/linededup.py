@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A line on at least this many sites is boilerplate.
 MIN_SITES = 10
 #: Shorter lines, trimmed, are left alone: they recur by chance.
@@ -53,7 +55,9 @@ def mark_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     text are treated alike.  Empty text is one empty line.
     """
     lines = _lines(docs, text, site)
-    found = lines.join(boilerplate(lines, min_sites), ["__h1", "__h2"]).where(F.struct("__key", "__copy", "__at") != F.col("__first"))
+    # as a table of its own, its join with the lines can be split where a line is in very many documents
+    gone_lines = written(boilerplate(lines, min_sites), "boilerplate")
+    found = lines.join(gone_lines, ["__h1", "__h2"]).where(F.struct("__key", "__copy", "__at") != F.col("__first"))
     gone = found.groupBy("__key", "__copy").agg(F.collect_set("__at").alias("__gone"))
     keyed = docs.withColumns({"__key": _key(), "__copy": F.xxhash64(text)})
     return keyed.join(gone, ["__key", "__copy"], "left").withColumns({"__lines": F.split(text, "\n", -1), "__gone": F.coalesce("__gone", F.array().cast("array<int>"))})
