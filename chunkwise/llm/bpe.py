@@ -26,7 +26,9 @@ from .common import chunks, raw, small_batches
 from .wordids import WordIds
 
 #: New words are merged together once their texts reach this many bytes.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 8 << 20
+#: The memory of encoded words is emptied beyond this many, so a worker stays small.
+MOST_WORDS = 200_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -181,7 +183,7 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def _memory(path: str) -> tuple[Vocabulary, WordIds, list[bytes]]:
     vocabulary = Vocabulary(path)
-    return vocabulary, WordIds(vocabulary.encode), []
+    return vocabulary, WordIds(vocabulary.encode, MOST_WORDS), []
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
@@ -219,6 +221,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(vocabulary)[1]
+        memory.clear()
+        _memory(vocabulary)[2].clear()
         held, size = [], 0
         for table in chunks(batches):
             data, offsets = raw(table["text"])
@@ -229,6 +233,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
                 held, size = [], 0
         if held:
             yield from results(held)
+        memory.clear()  # a reused worker keeps no words of an earlier task
+        _memory(vocabulary)[2].clear()
 
     extra = ", ids binary, decoded string" if with_ids else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)

@@ -7,8 +7,6 @@ prefix sums, so no Python object is made per word.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U64 = np.uint64
@@ -30,17 +28,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, U64), np.full(n, _INVERSE, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+_POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    up, down = _powers(size)
-    return up[: n + 1], down[: n + 1]
+    """Powers of the base and of its inverse up to ``n``, kept and extended as needed."""
+    have = len(_POWERS[0])
+    if n >= have:
+        size = (n // (1 << 18) + 1) << 18
+        for k, base in enumerate((_BASE, _INVERSE)):
+            more = np.full(size, base, U64)
+            more[0] = 1
+            _POWERS[k] = np.cumprod(more, dtype=U64)
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:

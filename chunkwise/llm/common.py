@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Arrow batches handed to Python hold at most this many rows, so very long texts stay affordable.
 ARROW_ROWS = 256
 #: Python gathers batches until it has about this many bytes of text, then works on them at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -45,13 +45,14 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = f"{scratch_root(spark)}/chunkwise/{label}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
+    spark.sparkContext._jvm.System.gc()  # the driver drops shuffle files once nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for the session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * CHUNK_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * CHUNK_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
