@@ -168,7 +168,7 @@ SELECT l_orderkey, l_linenumber, feature, percentile_rank, signal, CASE WHEN fea
   ELSE CASE signal WHEN 'FAR_ABOVE_NORMAL' THEN 'CRITICAL' WHEN 'ABOVE_NORMAL' THEN 'ELEVATED' ELSE 'NORMAL' END END AS severity FROM s""",
     "masked_scores": f"WITH {SCORES} SELECT l_orderkey, l_linenumber, audio_available, round(visual_score, 6) AS visual_score, round(audio_score, 6) AS audio_score, round(kl_divergence, 6) AS kl_divergence, round(joint_score, 6) AS joint_score FROM j",
     "poe_fusion": """WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS m1, embedding[i + 5]::DOUBLE AS v1, embedding[i + 9]::DOUBLE AS m2, embedding[i + 13]::DOUBLE AS v2, (label % 3 > 0)::INT AS w FROM (SELECT *, unnest(range(0, 4)) AS i FROM embeddings))
-SELECT vec_id, i::INT AS i, round((m1 * exp(-v1) + m2 * w * exp(-v2)) / (1 + exp(-v1) + w * exp(-v2) + 1e-8), 5) AS mu, round(-ln(1 + exp(-v1) + w * exp(-v2) + 1e-8), 5) AS logvar FROM x""",
+SELECT vec_id, i::INT AS i, round((m1 * exp(-v1) + m2 * w * exp(-v2)) / (1 + exp(-v1) + w * exp(-v2) + 1e-8), 4) + 0::DOUBLE AS mu, round(-ln(1 + exp(-v1) + w * exp(-v2) + 1e-8), 4) + 0::DOUBLE AS logvar FROM x""",
     "threshold_calibration": f"WITH {SCORES} SELECT round(threshold, 5) AS threshold, round(mean_score, 5) AS mean_score, round(median_score, 5) AS median_score, round(max_score, 5) AS max_score, n FROM limits",
     "anomaly_levels": f"WITH {LEVELS} SELECT l_orderkey, l_linenumber, round(norm, 5) AS normalized_score, {LEVEL} AS level FROM lv",
     "top_features": f"WITH {LEVELS}, t AS (SELECT *, {LEVEL} AS level, {_top(2)} AS tops FROM lv) SELECT l_orderkey, l_linenumber, array_to_string(tops, ',') AS top_features, array_to_string(list_filter(["

@@ -377,7 +377,7 @@ def poe_fusion(spark, sf):
     rows = e.select("vec_id", part(1).alias("m1"), part(5).alias("v1"), part(9).alias("m2"), part(13).alias("v2"), (F.col("label") % 3 > 0).alias("has2"))
     mu, logvar = score.product_of_experts([F.col("m1"), F.col("m2")], [F.col("v1"), F.col("v2")], [F.lit(True), "has2"])
     out = rows.select("vec_id", F.posexplode(F.arrays_zip(mu.alias("mu"), logvar.alias("logvar"))).alias("i", "x"))
-    return out.select("vec_id", "i", F.round("x.mu", 5).alias("mu"), F.round("x.logvar", 5).alias("logvar"))
+    return out.select("vec_id", "i", (F.round("x.mu", 4) + 0.0).alias("mu"), (F.round("x.logvar", 4) + 0.0).alias("logvar"))
 
 
 @query
