@@ -16,6 +16,7 @@ members, and later rounds only look across components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,17 +127,28 @@ def _fits(a: str, b: str, threshold: int) -> Column:
     return (F.lit(100) * F.least(a, b)) >= F.lit(threshold) * F.greatest(a, b)
 
 
-def _share(a: str, b: str, threshold: int) -> Column:
+def _share(a: Column, b: Column, threshold: int) -> Column:
     """How many prefix tokens two sets of these sizes share at least, if they are similar.
 
     Up to the end of the earlier of the two prefixes all their common tokens are in both; beyond it at most the
     rest of one set is common.
     """
-    kept = lambda n: F.ceil(F.lit(threshold) * F.col(n) / F.lit(100.0))
-    both = F.ceil(F.lit(threshold) * (F.col(a) + F.col(b)) / F.lit(100.0 + threshold) - 1e-9)
+    kept = lambda n: F.ceil(F.lit(threshold) * n / F.lit(100.0))
+    both = F.ceil(F.lit(threshold) * (a + b) / F.lit(100.0 + threshold) - 1e-9)
     return F.greatest(F.lit(1), both - F.greatest(kept(a), kept(b)) + 1)
 
 
+def _least_share(n: str, least: str, most: str, threshold: int) -> Column:
+    """The least ``_share`` of a set of size ``n`` with any size from ``least`` to ``most``.
+
+    Up to ``n`` the share grows with the other size.  Beyond, without its ceilings it falls by a fixed slope; they
+    move it by less than 1 either way, so the least is at one of the last sizes, over which it falls by 2.
+    """
+    slope = threshold / 100 - threshold / (100 + threshold)
+    last = [F.greatest(F.col(least), F.col(most) - i) for i in range(math.ceil(2 / slope) + 1)]
+    return F.least(*[_share(F.col(n), m, threshold) for m in (F.col(least), *last)])
+
+
 def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, text) of the classes ``ids`` (rep, s1), compressed: a text takes a third of its set's bytes, and gives the set again."""
     small = ids.count() <= MOST_IDS
@@ -230,7 +242,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     shared = written(tokens.join(twice, "token"), "shared")
     first = shared.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("first"))
     led = shared.join(first, "token").where(F.col("rep") != F.col("first.rep")).where(_fits("n", "first.n", threshold))
-    votes = led.groupBy("rep", F.col("first.rep").alias("g"), "n", F.col("first.n").alias("of")).agg(F.count("*").alias("votes")).where(F.col("votes") >= _share("n", "of", threshold))
+    votes = led.groupBy("rep", F.col("first.rep").alias("g"), "n", F.col("first.n").alias("of")).agg(F.count("*").alias("votes")).where(F.col("votes") >= _share(F.col("n"), F.col("of"), threshold))
     star = written(votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("g")).alias("g"))).alias("best")).select(F.col("rep").alias("q"), (-F.col("best.g")).alias("g")), "stars")
     ids = star.select(F.col("q").alias("rep")).unionByName(star.select(F.col("g").alias("rep"))).distinct()
     keys = reps.select("rep", "s1")
@@ -251,7 +263,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     wide = (F.lit(100) * F.col("n") >= F.lit(threshold) * F.col("least")) & (F.lit(100) * F.col("most") >= F.lit(threshold) * F.col("n"))
     pairs = open_tokens.join(matrix, "token").where((F.col("of") < F.col("component")) & wide)
     pairs = pairs.groupBy(F.col("rep").alias("q"), "g", "n", "least", "most").agg(F.count("*").alias("common"))
-    pairs = pairs.where(F.col("common") >= F.least(_share("n", "least", threshold), _share("n", "most", threshold))).select("q", "g")
+    pairs = pairs.where(F.col("common") >= _least_share("n", "least", "most", threshold)).select("q", "g")
     pairs = written(pairs, "pairs")
     members = grouped.select("g", "rep").join(pairs.select("g").distinct(), "g", "left_semi")
     ids = pairs.select(F.col("q").alias("rep")).unionByName(members.select("rep")).distinct().join(texts.select("rep"), "rep", "left_anti")

@@ -146,6 +146,27 @@ def test_jaccard_join_of_chains_and_groups(spark):
     assert by(got) == by(brute.jaccard_components(rows))
 
 
+def test_jaccard_join_of_a_size_between_the_extremes(spark):
+    """Sizes 21 and 24 share one prefix token at least, more with 21 and 25; the group has all three."""
+    passage, own = [f"p{i}" for i in range(24)], [f"x{i}" for i in range(4)]
+    texts = {1: [*own, *passage[:21]], 2: [*own, *passage], 3: ["y", *own, *passage], 4: ["q", *passage]}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    for i in range(9):  # the passage is frequent elsewhere, its end most of all
+        rows.append((100 + i, " ".join([*(f"f{i}_{k}" for k in range(100)), *(passage if i < 6 else passage[17:])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id")
+    assert {c for d, _, c in got if d < 100} == {1}
+    assert by(got) == by(brute.jaccard_components(rows))
+
+
+@pytest.mark.parametrize("threshold", [50, 80, 93])
+def test_least_share_is_the_least_of_all_sizes(spark, threshold):
+    sizes = [(n, a, a + w) for n in (1, 5, 21, 64, 333) for a in (max(1, n * threshold // 100), n, n + 3) for w in (0, 1, 4, 9, n)]
+    df = spark.createDataFrame(sizes, "n long, least long, most long")
+    every = df.withColumn("m", F.explode(F.sequence("least", "most"))).groupBy("n", "least", "most").agg(F.min(jaccard._share(F.col("n"), F.col("m"), threshold)).alias("s"))
+    assert by(rows_of(df.distinct().withColumn("s", jaccard._least_share("n", "least", "most", threshold)), "n", "least", "most", "s")) == by(rows_of(every, "n", "least", "most", "s"))
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 99), (99, 100), (7, 7)], "u long, v long")
     assert dict(components(path).collect()) == {i: 0 for i in range(1, 51)} | {100: 99}
