@@ -105,7 +105,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
-    """doc_id, n, the set's signature, and its prefix tokens (null for a copy that the task has met)."""
+    """doc_id, n, the set's signature, and its prefix tokens (null without a doc_id, and for a copy that the task has met)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,8 @@ def document_sets(docs: DataFrame, counts: np.ndarray, threshold: int) -> DataFr
         for table in chunks(batches):
             sets = text_sets(table["text"])
             keys = [signature(s) for s in sets]
-            tokens = [prefix(s, counts, threshold).view(np.int64) if len(s) and seen.add(k) else None for s, k in zip(sets, keys, strict=True)]
+            ids = table["doc_id"].is_valid().to_pylist()
+            tokens = [prefix(s, counts, threshold).view(np.int64) if len(s) and known and seen.add(k) else None for s, k, known in zip(sets, keys, ids, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [table["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
                 ["doc_id", "n", "s1", "s2", "tokens"],

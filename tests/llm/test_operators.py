@@ -132,6 +132,15 @@ def test_jaccard_join(odd, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_join_of_a_null_id_before_its_copies(spark):
+    near = BASE.replace("gamma30.", "delta")
+    rows = [(None, BASE), (2, BASE), (1, near), (3, BASE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = rows_of(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id")
+    assert {c for d, _, c in got if d is not None} == {1}
+    assert by(got) == by(brute.jaccard_components(rows))
+
+
 def test_jaccard_join_of_chains_and_groups(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(words[i : i + 100])) for i in range(0, 60)]  # each near its neighbours only
