@@ -4,7 +4,8 @@ Lines that begin with ``>`` are quotes; the number of ``>`` is the level.
 Each quoted line is normalised (lower case, white space to one space) and
 hashed, and joined to the earliest message of its conversation that has the
 line one level up.  The message that most of a message's first-level quotes
-come from (ties: the later one) is the one it replies to.  Messages in order
+come from (ties: the later one) is the one it replies to; where none has an
+original, the quotes of the next level that has one decide.  Messages in order
 of ``path`` are the reply-ordered conversation; ``reply`` is without quotes.
 """
 
@@ -45,8 +46,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """Reply links of ``messages`` (conv_id, turn, role, text).
 
     Returns one row for each row: conv_id, turn, role, reply (without
-    quotes), n_quoted (quoted lines), n_linked (first-level quoted lines with
-    an original), parent_turn (null if none), depth and path (turns from the
+    quotes), n_quoted (quoted lines), n_linked (quoted lines of any level
+    with an original), parent_turn (null if none), depth and path (turns from the
     first message of the thread).  Rows that repeat a conv_id and turn are one
     message to the links.  A null text has an empty reply; null ids and turns
     are values of their own.  Columns of other names are dropped.
@@ -56,9 +57,11 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quoted = lines.where("level > 0").distinct()
     # the earliest message with the line at each level: one row for each line, so no group is multiplied
     first = lines.groupBy("ck", "h1", "h2", F.col("level").alias("of_level")).agg(F.min("tk").alias("from_tk"))
-    direct = quoted.where("level = 1").join(first.where("of_level = 0"), ["ck", "h1", "h2"]).where("from_tk < tk")
-    votes = direct.groupBy("ck", "tk", "from_tk").agg(F.count("*").alias("n"))
-    parent = votes.groupBy("ck", "tk").agg(F.max(F.struct("n", "from_tk")).alias("best"), F.sum("n").alias("n_linked")).select("ck", "tk", F.col("best.from_tk").alias("parent"), "n_linked")
+    above = first.withColumn("level", F.col("of_level") + 1)
+    linked = quoted.join(above, ["ck", "h1", "h2", "level"]).where("from_tk < tk")
+    votes = linked.groupBy("ck", "tk", "level", "from_tk").agg(F.count("*").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("nearest"), "n", "from_tk")).alias("best")
+    parent = votes.groupBy("ck", "tk").agg(best, F.sum("n").alias("n_linked")).select("ck", "tk", F.col("best.from_tk").alias("parent"), "n_linked")
     parent = written(parent, "quote-links")
     paths = _paths(parent)
     own = F.filter("lines", lambda x: (x["level"] == 0) & ~x["announces"])

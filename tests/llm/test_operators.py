@@ -299,6 +299,22 @@ def test_quotations(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_nested_quotations(spark):
+    rows = [
+        (1, 0, "The first words"),
+        (1, 1, "> The first words\nAn answer to them"),
+        (1, 2, "> > The first words\n> An answer, edited\nMore"),
+        (1, 3, ">>> the first  words\nDeeper"),
+        (1, 4, "> > An answer to them\nNot quoted one level up before"),
+        (1, 5, ">> An answer to them\n>> The first words\n> More\n> Deeper\nBoth levels"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quotes.link_quotes(df).collect()}
+    assert [got[t]["parent_turn"] for t in range(6)] == [None, 0, 1, 2, None, 3]
+    assert [got[t]["n_linked"] for t in range(6)] == [0, 1, 1, 1, 0, 3]
+    assert [got[t]["depth"] for t in range(6)] == [0, 1, 2, 3, 0, 4]
+
+
 def test_quotations_match_sql(spark, tmp_path):
     import duckdb
 
