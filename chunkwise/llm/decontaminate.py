@@ -138,17 +138,20 @@ def _contaminated_by_join(docs: DataFrame, sets: DataFrame, threshold: int) -> D
     return counts.select("doc_id", "item_id", F.col("n_item").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns; rows with a null id are kept."""
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, null_ids: bool = False) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns; rows with a null id are kept unless ``null_ids``."""
     sets = shingle_table(items.select("item_id", "text"), "item_id").dropDuplicates()
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if total > MOST_SENT:
-        return docs.join(_contaminated_by_join(docs, sets, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+        # by the text's hash, as a row's own text decides, whatever its id
+        keyed = docs.withColumn("__copy", F.xxhash64(F.col("text").cast("string")))
+        found = _contaminated_by_join(keyed.select(F.col("__copy").alias("doc_id"), "text"), sets, threshold).select(F.col("doc_id").alias("__copy")).distinct()
+        return keyed.join(found, (keyed["__copy"] == found["__copy"]) & (F.lit(null_ids) | F.col("doc_id").isNotNull()), "left_anti").select(docs.columns)
     index = ItemIndex([(r["key"], np.array(r["shingles"], np.int64)) for r in sets.collect()], threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches):
-            clean = [key is None or not index.search(s) for key, s in zip(table["doc_id"].to_pylist(), text_sets(table["text"]), strict=True)]
+            clean = [(key is None and not null_ids) or not index.search(s) for key, s in zip(table["doc_id"].to_pylist(), text_sets(table["text"]), strict=True)]
             yield from table.filter(pa.array(clean, pa.bool_())).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

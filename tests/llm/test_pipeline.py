@@ -2,10 +2,11 @@ import hashlib
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chunkwise.llm import linededup, quality, queries
+from chunkwise.llm import decontaminate, linededup, quality, queries
 
 
 def test_pipeline(spark, sf_dir):
@@ -39,3 +40,15 @@ def test_stages_keep_the_columns(spark, odd, none, sf_dir):
             assert out.count() <= frame.count()
         assert corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).count() == frame.count()
     assert corpus_pipeline.line_dedup(spark, odd, sf_dir).where(F.col("doc_id").isNull()).count() == 2
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_SENT, 0])
+def test_decontaminate_searches_rows_without_an_id(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_SENT", most)
+    item = " ".join(f"item{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "so " + item), (None, "a clean text of a few words"), (None, None), (1, item + " end"), (2, "another clean text of some words"), (2, "again " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
