@@ -565,5 +565,5 @@ def mvae_scores(spark, sf):
     rows = X.measurements(spark, sf)
     fitted = scale.scaler(rows.where("l_returnflag = 'N'"), X.FEATURES)
     ready = scale.scaled(rows, X.FEATURES, fitted, fill=True)
-    model = train(ready.where("l_returnflag = 'N'"), X.FEATURES[:2], X.FEATURES[2:], epochs=6)
+    model = train(ready.where("l_returnflag = 'N'"), X.FEATURES[:2], X.FEATURES[2:])
     return score_rows(ready, model, ["l_orderkey", "l_linenumber"])

@@ -176,6 +176,18 @@ def test_scores_ignore_what_is_masked(spark, tmp_path):
     assert np.mean([r["joint_score"] for r in first.values()]) < before
 
 
+def test_training_goes_over_all_rows(spark, monkeypatch):
+    for name in ("PART_ROWS", "TRAIN_ROWS"):
+        monkeypatch.setattr(model, name, 16, raising=False)
+    rows = [(float(i), float(i % 3), float(i % 2), True, True, i % 3 > 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, a__seen boolean, b__seen boolean, c__seen boolean")
+    used, loss = [], model.Scorer.loss
+    monkeypatch.setattr(model.Scorer, "loss", lambda self, x, *args: (used.append(x["v"][:, 0]), loss(self, x, *args))[1])
+    model.train(df, ["a", "b"], ["c"], epochs=2, batch=8)
+    assert max(map(len, used)) <= 8 and sorted(np.concatenate(used)) == sorted([r[0] for r in rows] * 2)
+    model.train(df, ["a", "b"], ["c"], epochs=2, val=df.limit(0))
+
+
 # sources and sinks
 
 
