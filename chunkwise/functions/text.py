@@ -70,12 +70,15 @@ def words_of(text) -> Column:
 def word_distance(a, b) -> Column:
     """Levenshtein distance of two word arrays: each distinct word becomes one character of the built-in's strings.
 
-    Holds for up to 20,000 distinct words in a pair.
+    Characters go from 0x4E00 to the surrogates, then from 0x10000 to the end of Unicode: over a million of them.
     """
     known = F.array_distinct(F.concat(a, b))
-    coded = F.map_from_arrays(known, F.transform(known, lambda w, i: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + i), 4, "0")), "UTF-16BE")))
-    text = lambda x: F.array_join(F.transform(x, lambda w: coded[w]), "")
-    return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(F.levenshtein(text(a), text(b)))
+    point = lambda i: i + F.when(i < 0xD800 - 0x4E00, F.lit(0x4E00)).otherwise(F.lit(0x10000 - 0xD800 + 0x4E00))
+    coded = F.map_from_arrays(known, F.transform(known, lambda w, i: F.decode(F.unhex(F.lpad(F.hex(point(i)), 8, "0")), "UTF-32")))
+    text = lambda x, codes: F.array_join(F.transform(x, lambda w: codes[w]), "")
+    # as a variable the map is made once, not for every word
+    distance = F.get(F.transform(F.array(coded), lambda codes: F.levenshtein(text(a, codes), text(b, codes))), F.lit(0))
+    return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(distance)
 
 
 def error_rate(ref, hyp, distance) -> Column:

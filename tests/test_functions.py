@@ -133,6 +133,15 @@ def test_word_errors(spark):
         assert r["wer"] == pytest.approx((0.0 if not hyp else 1.0) if not ref else r["d"] / len(ref))
 
 
+def test_word_errors_of_very_many_words(spark):
+    n = 46_000  # past the surrogates and the four-digit codes
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    pairs = [(35_400, "new"), (n, "w45990")]
+    df = spark.createDataFrame(pairs, "k int, b string").select("k", "b", F.slice(words, 1, F.col("k")).alias("a"))
+    got = df.select("k", "b", T.word_distance(F.col("a"), F.array("b")).alias("d")).collect()
+    assert [(r["k"], r["b"], r["d"]) for r in got] == [(35_400, "new", 35_400), (n, "w45990", n - 1)]
+
+
 def test_error_rates_of_the_tables(spark, sf_dir):
     from chunkwise.plans import queries as Q
 
