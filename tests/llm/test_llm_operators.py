@@ -1,12 +1,12 @@
 import hashlib
 import zlib
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pytest
-from conftest import BASE
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from odd_tables import BASE
 from pyspark.sql import functions as F
 
 from chunkwise.llm import bpe, decontaminate, html, jaccard, langid, linededup, quality, queries, quotes, repeats, tokenids

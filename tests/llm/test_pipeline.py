@@ -1,6 +1,6 @@
 import hashlib
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
