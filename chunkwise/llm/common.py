@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 256
 #: Python gathers batches until it has about this many bytes of text, then works on them at once.
 CHUNK_BYTES = 1 << 20
+#: Shuffles by a fixed number of partitions give each about this much, as far as the plan's size is known.
+PARTITION_BYTES = 128 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; set to a temporary one only where the session has none."""
+    """The shared folder of ``spark.checkpoint.dir``; where the session has none, one of its own on a local master, else an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="chunkwise-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -35,28 +41,63 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``_`` stands for ``.``) that hold inside only."""
+    named = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Survives lost executors, as the committed files belong to no executor.
-    The folder is removed when the driver's Python ends.
+    Survives lost executors, as the committed files belong to no executor;
+    the shuffles that made it go once it is committed.  ``drop`` removes the
+    folder, at the latest the end of the driver's Python does.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/chunkwise/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
-    spark.sparkContext._jvm.System.gc()  # the driver drops shuffle files once nothing refers to them
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = (path, atexit.register(lambda: _remove(spark, path)))
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the session's Python stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * CHUNK_BYTES))
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        path, remove = table.scratch
+        atexit.unregister(remove)
+        _remove(table.sparkSession, path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch for the session's Python stages; smaller bounds of the session stay.
+
+    Results are lazy, so the bounds must outlast this call.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", 8 * CHUNK_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def partitions(rows: DataFrame) -> int:
+    """Partitions for a shuffle of ``rows`` by a fixed number: the session's, or more where the plan's size asks for it."""
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # sizes of joins without statistics are products of their sides' and say nothing
+    return max(asked, min(-(-size // PARTITION_BYTES), 64 * asked)) if size < 1 << 50 else asked
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.Table]:

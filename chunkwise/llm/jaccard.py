@@ -89,7 +89,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["segment", "counts"])
 
     schema = "segment int, counts binary"
-    parts = _texts(docs).select("text").mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "segment").mapInArrow(add, schema)
+    parts = _texts(docs).select("text").mapInArrow(count, schema).repartition("segment").mapInArrow(add, schema)
     out = np.zeros((1 << SKETCH_BITS) // _SEGMENT * _SEGMENT, np.uint32).reshape(-1, _SEGMENT)
     for i, x in parts.collect():
         out[i] = np.frombuffer(x, np.uint32)
@@ -175,7 +175,7 @@ def open_groups(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshol
     asked = pairs.join(copies, "g").select("g", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("rep"))
     held = members.join(copies, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rep")
     rows = asked.unionByName(held).join(texts, "rep").select("g", "copy", "kind", "rep", "text")
-    rows = rows.repartition(partitions(pairs.sparkSession), "g", "copy").sortWithinPartitions("g", "copy", "kind", "rep")
+    rows = rows.repartition(partitions(rows), "g", "copy").sortWithinPartitions("g", "copy", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, union = None, [], None

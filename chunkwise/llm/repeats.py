@@ -18,9 +18,13 @@ of d bytes), left-extension diversity is tested: members in order of their
 reversed left contexts fall apart where fewer than LENGTH - d bytes agree.
 What stays together is a maximal repeat group, with all its occurrences.
 
-Crowded buckets (a passage in very many documents) are not gathered: their
-members' windows are counted by hash, first of the strings that neighbouring
-windows have in common, then of the windows themselves.
+Crowded buckets (a passage in very many documents) are not gathered.  A pair
+that agrees in l bytes before and r after the anchor, l + r >= LENGTH, agrees
+in one of a few cores: ``a`` bytes before and ``LENGTH - a - STEP + 1`` after,
+for a = 0, STEP, 2 STEP, ...  Cores are counted by hash; the members that share
+one form a smaller bucket, in which only the STEP - 1 bytes on either side of
+the core are left to compare.  Buckets that are still crowded are divided
+again by smaller steps, down to the windows themselves.
 """
 
 from __future__ import annotations
@@ -34,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U64, mix, prefix_hashes, span_hashes
-from .common import chunks, partitions, raw, small_batches, written
+from .common import chunks, drop, partitions, raw, small_batches, written
 
 LENGTH = 400
 GRAM = 50
 WINDOW = LENGTH - GRAM + 1
 #: Buckets of more classes are crowded.
 CROWD = 256
-#: Neighbouring windows of a crowded bucket that are first tested together.
-STEP = 50
+#: How crowded buckets are divided: bytes to agree in, and the step between cores.  What remains is the step - 1.
+DIVISIONS = ((LENGTH, 50), (49, 10), (9, 1))
 #: Ids are broadcast up to this many, and joined by a shuffle beyond.
 MOST_IDS = 500_000
 NULL_KEY = -(1 << 63)
@@ -159,14 +163,17 @@ def _reduced(keyed: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return keyed.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "key", how)
 
 
-CONTEXTS = "h long, crowded boolean, single boolean, key long, copy long, pos int, left binary, right binary"
+MEMBERS = "h long, core long, crowded boolean, single boolean, key long, copy long, pos int, back int, left binary, right binary"
+_MEMBER = [pa.field(*x) for x in (("h", pa.int64()), ("core", pa.int64()), ("crowded", pa.bool_()), ("single", pa.bool_()), ("key", pa.int64()), ("copy", pa.int64()), ("pos", pa.int32()), ("back", pa.int32()), ("left", pa.binary()), ("right", pa.binary()))]
 
 
 def _contexts(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The context bytes of one member of each class, from its text."""
+    """The context bytes of one member of each class, from its text: members of buckets by ``h``."""
     wanted = classes.groupBy("key", "copy").agg(F.collect_list(F.struct("h", "crowded", "single", "pos")).alias("anchors"))
     wanted = written(wanted, "wanted")
-    rows = _reduced(keyed, wanted.select("key").distinct(), "left_semi").join(wanted, ["key", "copy"]).select("key", "copy", "text", "anchors")
+    # rows that repeat an id and text would give the same contexts again
+    texts = _reduced(keyed, wanted.select("key").distinct(), "left_semi").select("key", "copy", "text").dropDuplicates(["key", "copy"])
+    rows = texts.join(wanted, ["key", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,37 +182,37 @@ def _contexts(keyed: DataFrame, classes: DataFrame) -> DataFrame:
                 data = text.encode()
                 for a in anchors:
                     pos = a["pos"]
-                    out.append((a["h"], a["crowded"], a["single"], key, copy, pos, data[max(0, pos - LENGTH + GRAM) : pos][::-1], data[pos : pos + LENGTH]))
-            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["h", "crowded", "single", "key", "copy", "pos", "left", "right"])
+                    out.append((a["h"], 0, a["crowded"], a["single"], key, copy, pos, 0, data[max(0, pos - LENGTH + GRAM) : pos][::-1], data[pos : pos + LENGTH]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_MEMBER)], schema=pa.schema(_MEMBER))
 
     small_batches(keyed.sparkSession)
-    # rows that repeat an id and text give the same context twice, but as such they are a class of two
-    return rows.mapInArrow(run, CONTEXTS).dropDuplicates(["h", "key", "copy", "pos"])
+    contexts = written(rows.mapInArrow(run, MEMBERS), "contexts", compression="zstd")
+    drop(wanted)
+    return contexts
 
 
 SPANS = "key long, copy long, start int, end int"
 
 
-def _spans_of_buckets(contexts: DataFrame) -> DataFrame:
-    """Covered spans of the single classes, by the interval tree of each bucket."""
-    rows = contexts.where("not crowded").drop("crowded").repartition(partitions(contexts.sparkSession), "h").sortWithinPartitions("h", "key", "copy", "pos")
+def _spans_of_buckets(members: DataFrame, need: int) -> DataFrame:
+    """Covered spans of the single members, by the interval tree of each bucket (h, core): of two that agree in ``need`` bytes."""
+    rows = members.drop("crowded").repartition(partitions(members), "h", "core").sortWithinPartitions("h", "core", "key", "copy", "pos")
 
     def solve(bucket: list) -> Iterator[tuple]:
         before, after = [-1] * len(bucket), [-1] * len(bucket)
-        for members, d, left in repeat_groups([x[5] for x in bucket], [x[6] for x in bucket]):
-            for m, n in zip(members, left, strict=True):
+        for found, d, left in repeat_groups([x[7] for x in bucket], [x[8] for x in bucket], need):
+            for m, n in zip(found, left, strict=True):
                 before[m], after[m] = max(before[m], n), max(after[m], d)
-        for x, b, a in zip(bucket, before, after, strict=True):
-            if x[1] and a >= 0:
-                yield x[2], x[3], x[4] - b, x[4] + a
+        for (_, _, single, key, copy, pos, back, _, _), b, a in zip(bucket, before, after, strict=True):
+            if single and a >= 0:  # the outermost windows start back + b and back + need - a bytes before the anchor
+                yield key, copy, pos - back - b, pos - back - max(0, need - a) + LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list = []
         for batch in batches:
             out: list = []
-            for x in zip(*(batch[c].to_pylist() for c in ("h", "single", "key", "copy", "pos", "left", "right")), strict=True):
-                if bucket and bucket[0][0] != x[0]:
+            for x in zip(*(batch[c].to_pylist() for c in ("h", "core", "single", "key", "copy", "pos", "back", "left", "right")), strict=True):
+                if bucket and bucket[0][:2] != x[:2]:
                     out += solve(bucket)
                     bucket = []
                 bucket.append(x)
@@ -220,66 +227,65 @@ def _span_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["key", "copy", "start", "end"])
 
 
-def _spans_of_crowds(contexts: DataFrame) -> DataFrame:
-    """Covered spans of the single classes of crowded buckets, by counting windows; no group is gathered."""
-    crowd = contexts.where("crowded").select("h", "single", "key", "copy", "pos", "left", "right")
-    place = ["h", "key", "copy", "pos"]
+def _cores(batch: pa.RecordBatch, need: int, step: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(bytes before, bytes after, rows that have them, hashes) of the cores of each row's context."""
+    left, right = (batch[c].to_pylist() for c in ("left", "right"))
+    data = np.frombuffer(b"".join(x for a, b in zip(left, right, strict=True) for x in (a[::-1], b)), np.uint8)
+    before, after = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
+    middle = np.cumsum(before + after) - after
+    sums = prefix_hashes(data)
+    old = batch["core"].to_numpy().view(U64)
+    for a in range(0, need + 1, step):
+        b = max(0, need - a - step + 1)
+        some = np.flatnonzero((before >= a) & (after >= b))
+        yield a, b, some, mix(span_hashes(sums, middle[some] - a, middle[some] + b) + old[some] * U64(0x9E3779B97F4A7C15) + U64(a + 1) * U64(0xD6E8FEB86659FD93)).view(np.int64)
 
-    def strings(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[pa.RecordBatch]:
-        """Hashes of the strings that start ``back`` bytes before the anchor: windows, or what STEP windows have in common."""
+
+def _divided(members: DataFrame, need: int, step: int) -> DataFrame:
+    """The members of crowded buckets in smaller ones, those with equal cores; members alone in one are gone."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, single = batch["h"].to_numpy(), batch["single"].to_numpy(zero_copy_only=False)
+            for _, _, some, core in _cores(batch, need, step):
+                yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(core), pa.array(single[some])], ["h", "core", "single"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], [], []]
-            for row in batch.to_pylist():
-                left, right = row["left"][::-1], row["right"]
-                data = np.frombuffer(left + right, np.uint8)
-                sums = prefix_hashes(data)
-                if fine:
-                    back = np.array([d for g in row["backs"] for d in range(g, g + STEP)], np.int64)
-                    size = LENGTH
-                else:
-                    back = np.arange(0, len(left) + 1, STEP)
-                    size = LENGTH - STEP + 1
-                begin = len(left) - back
-                if fine:
-                    good = (begin >= 0) & (begin + size <= len(data))
-                    back, begin = back[good], begin[good]
-                else:  # windows that start at back .. back + STEP - 1 before the anchor all have this string
-                    good = begin + size <= len(data)
-                    back, begin = back[good], begin[good]
-                found = span_hashes(sums, begin, begin + size).view(np.int64)
-                for c, v in zip(columns, (row["h"], row["key"], row["copy"], row["pos"], row["single"]), strict=False):
-                    c += [v] * len(back)
-                columns[5] += back.tolist()
-                columns[6] += found.tolist()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "key", "copy", "pos", "single", "back", "string"])
-
-    schema = "h long, key long, copy long, pos int, single boolean, back int, string long"
-
-    def repeated(rows: DataFrame) -> DataFrame:
-        twice = rows.groupBy("h", "back", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(written(twice, "crowd-twice"), ["h", "back", "string"])
-
-    def tested(wanted: DataFrame) -> DataFrame:
-        """The largest and least start of a repeated window of each single class, among the STEPs of ``wanted``."""
-        some = near.join(written(wanted.select("h", "back", "string").distinct(), "crowd-wanted"), ["h", "back", "string"])
-        backs = written(some.groupBy(*place).agg(F.sort_array(F.collect_set("back")).alias("backs")), "crowd-backs")
-        fine = written(crowd.join(backs, place).mapInArrow(lambda x: strings(x, True), schema), "crowd-windows")
-        return repeated(fine).where("single").groupBy(*place).agg(F.max("back").alias("most"), F.min("back").alias("least"))
-
-    near = written(repeated(written(crowd.mapInArrow(lambda x: strings(x, False), schema), "crowd-strings")), "crowd-near")
-    # only the first and the last windows matter: the outermost STEPs come first, the others only where those have none
-    ends = near.where("single").groupBy(*place).agg(F.max("back").alias("top"), F.min("back").alias("bottom"))
-    asked = written(near.where("single").join(ends, place), "crowd-asked")
-    outer = written(tested(asked.where("back = top or back = bottom")), "crowd-found")
-    rest = asked.join(outer, place, "left").where(F.col("most").isNull() | (F.col("most") < F.col("top")) | (F.col("least") >= F.col("bottom") + STEP))
-    inner = tested(rest.where("back <> top and back <> bottom"))
-    found = outer.unionByName(inner).groupBy(*place).agg(F.max("most").alias("most"), F.min("least").alias("least"))
-    return found.select("key", "copy", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end"))
+            left, right, back = batch["left"].to_pylist(), batch["right"].to_pylist(), batch["back"].to_numpy()
+            for a, b, some, core in _cores(batch, need, step):
+                rest = min(step - 1, need - a - b)
+                own = batch.select(["h", "single", "key", "copy", "pos"]).take(pa.array(some))
+                cut = [pa.array([left[i][a : a + rest] for i in some.tolist()], pa.binary()), pa.array([right[i][b : b + rest] for i in some.tolist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([own["h"], pa.array(core), own["single"], own["key"], own["copy"], own["pos"], pa.array((back[some] + a).astype(np.int32)), *cut], [f.name for f in _MEMBER if f.name != "crowded"])
+
+    small_batches(members.sparkSession)
+    counts = members.mapInArrow(hashes, "h long, core long, single boolean").groupBy("h", "core").agg(F.count("*").alias("n"), F.max("single").alias("single"))
+    shared = written(counts.where("n > 1 and single").select("h", "core", (F.col("n") > CROWD).alias("crowded")), "cores")
+    met = members.mapInArrow(rows, MEMBERS.replace(", crowded boolean", "")).join(F.broadcast(shared) if shared.count() <= MOST_IDS else shared, ["h", "core"])
+    met = written(met.select(*[f.name for f in _MEMBER]), "crowd-members", compression="zstd")
+    drop(shared)
+    return met
+
+
+def _spans_of_contexts(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Covered spans of the single members, and the tables that they are read from."""
+    found, tables = None, [members]
+    for need, step in DIVISIONS:
+        small = _spans_of_buckets(members.where("not crowded"), need)
+        found = small if found is None else found.unionByName(small)
+        crowded = members.where("crowded")
+        if crowded.isEmpty():
+            return found, tables
+        members = _divided(crowded, need, step)
+        tables.append(members)
+    # what is left are windows that start ``back`` bytes before the anchor
+    ends = members.where("single").groupBy("h", "key", "copy", "pos").agg(F.max("back").alias("most"), F.min("back").alias("least"))
+    return found.unionByName(ends.select("key", "copy", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end"))), tables
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, copy, start, end): spans of bytes of the texts of ``docs`` that repeats cover; they may overlap."""
+    """(key, copy, spans): the runs of bytes of the texts of ``docs`` that repeats cover; those of a text may overlap."""
     return _repeated_spans(_keyed(docs))
 
 
@@ -289,6 +295,7 @@ def _repeated_spans(keyed: DataFrame) -> DataFrame:
     # as a table of its own, its join with the anchors can be split where an anchor is very common
     twice = written(twice.select("h", (F.col("low") != F.col("high")).alias("mixed")), "twice")
     met = written(anchors.join(twice, "h"), "met", compression="zstd")
+    drop(anchors, twice)
     classes = met.groupBy("h", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("key", "copy", "pos")).alias("first"))
     classes = written(classes.where("n > 1 or mixed"), "classes")
     whole = met.join(classes.where("n > 1").select("h", "context"), ["h", "context"], "left_semi")
@@ -296,8 +303,12 @@ def _repeated_spans(keyed: DataFrame) -> DataFrame:
 
     mixed = classes.where("mixed")
     size = mixed.groupBy("h").agg((F.count("*") > CROWD).alias("crowded"), F.min(F.col("n")).alias("least")).where("least = 1").drop("least")
-    contexts = written(_contexts(keyed, mixed.join(size, "h").select("h", "crowded", (F.col("n") == 1).alias("single"), "first.*")), "contexts", compression="zstd")
-    return spans.unionByName(_spans_of_buckets(contexts)).unionByName(_spans_of_crowds(contexts))
+    contexts = _contexts(keyed, mixed.join(size, "h").select("h", "crowded", (F.col("n") == 1).alias("single"), "first.*"))
+    more, tables = _spans_of_contexts(contexts)
+    spans = spans.unionByName(more).groupBy("key", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = written(spans, "spans", compression="zstd")
+    drop(met, classes, *tables)
+    return spans
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -322,8 +333,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows with a null doc_id.  Other columns are dropped.
     """
     keyed = _keyed(docs)
-    spans = _repeated_spans(keyed).groupBy("key", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = written(spans, "spans", compression="zstd")
+    spans = _repeated_spans(keyed)
     ids = spans.select("key").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,11 +98,10 @@ def encode_blocks(docs: DataFrame, vocabulary: str, end_id: int, by: Column | No
 
     One shuffle: range partitions by doc_id, so shard and block order is doc_id order.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     key = F.col("doc_id")
     tie = F.xxhash64("text")
-    ordered = docs.select(key.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), key, tie).sortWithinPartitions(key, tie)
+    ordered = docs.select(key.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(docs), key, tie).sortWithinPartitions(key, tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, shard, start, block = word_tokenizer(vocabulary), TaskContext.get().partitionId(), 0, 0
