@@ -91,11 +91,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def plan_bytes(rows: DataFrame) -> int:
+    """What Catalyst takes for the size of ``rows``."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def partitions(rows: DataFrame) -> int:
     """Partitions for a shuffle of ``rows`` by a fixed number: the session's, or more where the plan's size asks for it."""
-    spark = rows.sparkSession
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size, asked = plan_bytes(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # sizes of joins without statistics are products of their sides' and say nothing
     return max(asked, min(-(-size // PARTITION_BYTES), 64 * asked)) if size < 1 << 50 else asked
 

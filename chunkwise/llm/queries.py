@@ -131,7 +131,7 @@ SELECT q.conv_id, q.turn, role,
 FROM q LEFT JOIN parent USING (conv_id, turn) JOIN thread USING (conv_id, turn)""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, source, i AS pos, trim(lines[i], ' ') AS line FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents))),
-boiler AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 10),
+boiler AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
 gone AS (SELECT doc_id, list(pos) AS ats FROM l JOIN boiler USING (line) WHERE (doc_id, pos) <> first GROUP BY doc_id)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(ats), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(lines, lambda x, i: NOT coalesce(list_contains(ats, i), false)), chr(10))) AS kept_sha256

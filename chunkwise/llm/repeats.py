@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U64, mix, prefix_hashes, span_hashes
-from .common import chunks, drop, partitions, raw, small_batches, written
+from .common import PARTITION_BYTES, chunks, drop, partitions, plan_bytes, raw, settings, small_batches, written
 
 LENGTH = 400
 GRAM = 50
@@ -55,7 +55,7 @@ _PLACE_BITS = U64(32)
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"key": F.coalesce("doc_id", F.lit(NULL_KEY)), "copy": F.xxhash64("text")})
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"key": F.coalesce("doc_id", F.lit(NULL_KEY)), "copy": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
 def anchor_positions(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +259,15 @@ def _divided(members: DataFrame, need: int, step: int) -> DataFrame:
                 cut = [pa.array([left[i][a : a + rest] for i in some.tolist()], pa.binary()), pa.array([right[i][b : b + rest] for i in some.tolist()], pa.binary())]
                 yield pa.RecordBatch.from_arrays([own["h"], pa.array(core), own["single"], own["key"], own["copy"], own["pos"], pa.array((back[some] + a).astype(np.int32)), *cut], [f.name for f in _MEMBER if f.name != "crowded"])
 
-    small_batches(members.sparkSession)
+    spark = members.sparkSession
+    small_batches(spark)
+    # rows become many here, and the table is small in bytes: smaller splits keep all cores busy
+    split = str(min(max(plan_bytes(members) // (4 * spark.sparkContext.defaultParallelism), 1 << 20), PARTITION_BYTES))
+    with settings(spark, spark_sql_files_maxPartitionBytes=split, spark_sql_files_openCostInBytes=str(1 << 18)):
+        return _divided_members(members, hashes, rows)
+
+
+def _divided_members(members: DataFrame, hashes, rows) -> DataFrame:
     counts = members.mapInArrow(hashes, "h long, core long, single boolean").groupBy("h", "core").agg(F.count("*").alias("n"), F.max("single").alias("single"))
     shared = written(counts.where("n > 1 and single").select("h", "core", (F.col("n") > CROWD).alias("crowded")), "cores")
     met = members.mapInArrow(rows, MEMBERS.replace(", crowded boolean", "")).join(F.broadcast(shared) if shared.count() <= MOST_IDS else shared, ["h", "core"])
@@ -296,14 +304,14 @@ def _repeated_spans(keyed: DataFrame) -> DataFrame:
     twice = written(twice.select("h", (F.col("low") != F.col("high")).alias("mixed")), "twice")
     met = written(anchors.join(twice, "h"), "met", compression="zstd")
     drop(anchors, twice)
-    classes = met.groupBy("h", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("key", "copy", "pos")).alias("first"))
-    classes = written(classes.where("n > 1 or mixed"), "classes")
-    whole = met.join(classes.where("n > 1").select("h", "context"), ["h", "context"], "left_semi")
+    # an anchor with one context only needs no join: all its places repeat that context
+    mixed = met.where("mixed")
+    classes = written(mixed.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "copy", "pos")).alias("first")), "classes")
+    whole = met.where("not mixed").unionByName(mixed.join(classes.where("n > 1").select("h", "context"), ["h", "context"], "left_semi").select(met.columns))
     spans = whole.select("key", "copy", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("end"))
 
-    mixed = classes.where("mixed")
-    size = mixed.groupBy("h").agg((F.count("*") > CROWD).alias("crowded"), F.min(F.col("n")).alias("least")).where("least = 1").drop("least")
-    contexts = _contexts(keyed, mixed.join(size, "h").select("h", "crowded", (F.col("n") == 1).alias("single"), "first.*"))
+    size = classes.groupBy("h").agg((F.count("*") > CROWD).alias("crowded"), F.min(F.col("n")).alias("least")).where("least = 1").drop("least")
+    contexts = _contexts(keyed, classes.join(size, "h").select("h", "crowded", (F.col("n") == 1).alias("single"), "first.*"))
     more, tables = _spans_of_contexts(contexts)
     spans = spans.unionByName(more).groupBy("key", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "spans", compression="zstd")

@@ -70,19 +70,19 @@ def contained(docs, items, threshold=80):
     return sorted(out)
 
 
-def boilerplate(rows, min_sites, min_chars=20):
+def boilerplate(rows, min_sites):
     """[(doc_id, lines, kept text)] for rows (doc_id, text, site)."""
     sites, first = defaultdict(set), {}
     for d, t, site in rows:
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
             line = line.strip(" ")
-            if len(line) >= min_chars:
+            if line:
                 sites[line] |= {site} - {None}
                 place = (d is not None, d or 0, i)
                 first[line] = min(first.get(line, place), place)
     out = []
     for d, t, _ in rows:
         lines = [] if t is None else t.split("\n")
-        keep = [x for i, x in enumerate(lines) if not (len(y := x.strip(" ")) >= min_chars and len(sites[y]) >= min_sites and first[y] != (d is not None, d or 0, i))]
+        keep = [x for i, x in enumerate(lines) if not ((y := x.strip(" ")) and len(sites[y]) >= min_sites and first[y] != (d is not None, d or 0, i))]
         out.append((d, len(lines), None if t is None else "\n".join(keep)))
     return out
