@@ -1,12 +1,14 @@
-"""Text functions: transcripts, word error rate, repetition, verdicts.  All are native expressions."""
+"""Text functions: transcripts, word error rate, repetition, verdicts.  All but the word distance are native expressions."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from chunkwise import spec
 
@@ -14,7 +16,11 @@ from .scalar import col
 
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-_SCALES = ["thousand", "million", "billion", "trillion"]
+# Names of 1000 ** k, k = 1 to 100, by the rule of the short scale: a unit's and a ten's Latin stem.
+_STEMS = ["m", "b", "tr", "quadr", "quint", "sext", "sept", "oct", "non", *(u + t for t in "dec vigint trigint quadragint quinquagint sexagint septuagint octogint nonagint".split() for u in ("", *"un duo tre quattuor quin sex sept octo novem".split())), "cent"]
+_SCALES = ["thousand", *(x + "illion" for x in _STEMS)]
+#: A mark between pieces of a text that are replaced one by one.
+_CUT = "\u0001"
 
 
 def squeezed(text) -> Column:
@@ -31,35 +37,38 @@ def _below_thousand(n: Column) -> Column:
 
 
 def number_words(digits) -> Column:
-    """English words of a number of up to 15 digits, without hyphens or commas; longer ones stay as they are."""
-    n = col(digits).try_cast("long")
-    parts = []
-    for k in range(4, 0, -1):
-        group = ((n / F.lit(float(1000**k))).cast("long") % 1000).cast("int") if k < 4 else (F.floor(n / F.lit(1000.0**4))).cast("int")
-        parts.append(F.when(group > 0, F.concat(_below_thousand(group), F.lit(" " + _SCALES[k - 1]))))
-    last = (n % 1000).cast("int")
-    joined = F.concat_ws(" ", *parts)
-    tail = F.when(last > 0, F.when((last < 100) & (n >= 1000), F.concat(F.lit("and "), _below_thousand(last))).otherwise(_below_thousand(last)))
-    return F.when(n.isNull() | (F.length(col(digits)) > 15), col(digits)).when(n == 0, "zero").otherwise(F.concat_ws(" ", F.nullif(joined, F.lit("")), tail))
+    """English words of a whole number, without hyphens or commas; from 1000 ** 101 on, which has no name, it stays as it is."""
+    d = F.regexp_replace(col(digits), "^0+", "")
+    n = F.ceil(F.length(d) / F.lit(3)).cast("int")
+    padded = F.lpad(d, n * 3, "0")
+    groups = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((n - i).alias("k"), F.substring(padded, (i - 1) * 3 + 1, F.lit(3)).cast("int").alias("g")))
+    scale = F.array(*map(F.lit, ["", *_SCALES]))
+    words = F.transform(F.filter(groups, lambda x: x["g"] > 0), lambda x: F.when(x["k"] > 0, F.concat_ws(" ", _below_thousand(x["g"]), F.get(scale, x["k"]))).when((x["g"] < 100) & (n > 1), F.concat(F.lit("and "), _below_thousand(x["g"]))).otherwise(_below_thousand(x["g"])))
+    return F.when(d == "", "zero").when(n > len(_SCALES) + 1, col(digits)).otherwise(F.array_join(words, " "))
+
+
+def _replaced(text, pattern: str, by) -> Column:
+    """``text`` with each match of ``pattern``, which has one group, put through ``by``."""
+    pieces = F.split(F.regexp_replace(F.translate(col(text), _CUT, " "), pattern, f"{_CUT}$1{_CUT}"), _CUT)
+    # matches are the pieces at odd places
+    return F.array_join(F.transform(pieces, lambda w, i: F.when(i % 2 == 1, by(w)).otherwise(w)), "")
 
 
 def numbers_spelled(text) -> Column:
     """Whole numbers that stand alone are put in words."""
-    words = F.split(F.regexp_replace(col(text), r"\b(\d+)\b", "\u0001$1\u0001"), "\u0001")
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^\d+$"), number_words(w)).otherwise(w)), "")
+    return _replaced(text, r"\b(\d+)\b", number_words)
 
 
 def contractions_expanded(text) -> Column:
-    by_end = sorted(spec.CONTRACTIONS.items())
-    return reduce(lambda t, kv: F.regexp_replace(t, rf"\b{re.escape(kv[0])}\b", kv[1]), by_end, col(text))
+    meaning = F.create_map(*map(F.lit, chain(*spec.CONTRACTIONS.items())))
+    return _replaced(text, rf"\b({'|'.join(map(re.escape, spec.CONTRACTIONS))})\b", lambda w: F.try_element_at(meaning, w))
 
 
 def normalized(text) -> Column:
     """Words of a transcript as compared: lower case, no contractions, digits, punctuation or fillers."""
     t = F.replace(F.lower(F.coalesce(col(text), F.lit(""))), F.lit("’"), F.lit("'"))
-    t = F.when(t.contains("'"), contractions_expanded(t)).otherwise(t)
-    t = F.when(t.rlike(r"\d"), numbers_spelled(t)).otherwise(t)
-    words = F.split(F.regexp_replace(t, r"[^a-z\s]", " "), r"\s+")
+    spelled = numbers_spelled(contractions_expanded(t))
+    words = F.split(F.regexp_replace(spelled, r"[^a-z\s]", " "), r"\s+")
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(spec.FILLERS)), " ")
 
 
@@ -67,18 +76,29 @@ def words_of(text) -> Column:
     return F.filter(F.split(col(text), " "), lambda w: w != "")
 
 
-def word_distance(a, b) -> Column:
-    """Levenshtein distance of two word arrays: each distinct word becomes one character of the built-in's strings.
-
-    Characters go from 0x4E00 to the surrogates, then from 0x10000 to the end of Unicode: over a million of them.
-    """
-    known = F.array_distinct(F.concat(a, b))
-    point = lambda i: i + F.when(i < 0xD800 - 0x4E00, F.lit(0x4E00)).otherwise(F.lit(0x10000 - 0xD800 + 0x4E00))
-    coded = F.map_from_arrays(known, F.transform(known, lambda w, i: F.decode(F.unhex(F.lpad(F.hex(point(i)), 8, "0")), "UTF-32")))
-    text = lambda x, codes: F.array_join(F.transform(x, lambda w: codes[w]), "")
-    # as a variable the map is made once, not for every word
-    distance = F.get(F.transform(F.array(coded), lambda codes: F.levenshtein(text(a, codes), text(b, codes))), F.lit(0))
-    return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(distance)
+def words_apart(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance of two lists of words, by columns of differences kept as the bits of one integer."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    more, less, distance = whole, 0, len(a)
+    for w in b:
+        same = places.get(w, 0)
+        down = ((same & more) + more ^ more) | same
+        right_more, right_less = less | whole & ~(down | more), more & down
+        distance += bool(right_more & last) - bool(right_less & last)
+        right_more, right_less = (right_more << 1 | 1) & whole, right_less << 1 & whole
+        more, less = right_less | whole & ~(same | less | right_more), right_more & (same | less)
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two word arrays of any length, in Arrow batches; null if one is null."""
+    return pd.Series([None if x is None or y is None else words_apart(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def error_rate(ref, hyp, distance) -> Column:

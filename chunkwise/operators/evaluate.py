@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import exact_percentiles, running_sums
+from .prefix import exact_percentiles, fitted, running_sums
 
 
 def confusion(truth, predicted) -> list[Column]:
@@ -40,17 +40,17 @@ def auc(rows: DataFrame, truth: str, score: str, by: list[str] | None = None, em
 def best_threshold(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """The percentile 1..99 of the scores with the best f1 when larger scores are positive; the least of equally good ones.
 
-    Scores are counted by value; cumulative counts give each threshold's confusion, so no row meets every threshold.
+    The 99 thresholds are worked out first; a score falls between two of them, so the classes are counted for 100 ranges.
     """
     some = rows.where(F.col(score).isNotNull())
-    grid = exact_percentiles(some, score, [i / 100 for i in range(1, 100)]).select(F.explode(F.array_distinct("percentiles")).alias("threshold"))
+    grid = fitted(exact_percentiles(some, score, [i / 100 for i in range(1, 100)]).select(F.array_sort(F.array_distinct("percentiles")).alias("grid")))
     counts = some.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    zero = F.lit(0).cast("long")
-    both = counts.select("s", "pos", "neg", F.lit(0).alias("kind")).unionByName(grid.select(F.col("threshold").alias("s"), zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("kind")))
-    # scores equal to the threshold come before it: they are not over it
-    found = running_sums(both, "s", {"fn": "pos", "tn": "neg"}, ["kind"]).where("kind = 1")
-    found = found.join(F.broadcast(counts.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))))
-    tried = rates(found.select(F.col("s").alias("threshold"), (F.col("np") - F.col("fn")).alias("tp"), "tn", (F.col("nn") - F.col("tn")).alias("fp"), "fn"), digits=12)
+    # a score equal to a threshold is not over it
+    under = counts.join(F.broadcast(grid)).groupBy(F.size(F.filter("grid", lambda t: t < F.col("s"))).alias("i")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    all_ = under.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.collect_list(F.struct("i", "pos", "neg")).alias("ranges"))
+    upto = lambda k, field: F.aggregate(F.filter("ranges", lambda r: r["i"] <= k), F.lit(0).cast("long"), lambda a, r: a + r[field])
+    tries = all_.join(F.broadcast(grid)).select("np", "nn", "ranges", F.posexplode("grid").alias("k", "threshold")).withColumns({"fn": upto(F.col("k"), "pos"), "tn": upto(F.col("k"), "neg")})
+    tried = rates(tries.select("threshold", (F.col("np") - F.col("fn")).alias("tp"), "tn", (F.col("nn") - F.col("tn")).alias("fp"), "fn"), digits=12)
     return tried.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
@@ -58,13 +58,16 @@ def score_stats(rows: DataFrame, by: str, score: str, limit, spread: bool = Fals
     """Per group: number, mean, median, population deviation, percent over the limit, and with ``spread`` least and largest."""
     over = F.avg((F.col(score) > limit).cast("double")) * 100
     more = [F.min(score).alias("min"), F.max(score).alias("max")] if spread else []
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.percentile(score, 0.5).alias("median"), F.stddev_pop(score).alias("std"), over.alias("pct_above"), *more)
+    stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), over.alias("pct_above"), *more)
+    middle = exact_percentiles(rows, score, [0.5], [by]).select(by, F.col("percentiles")[0].alias("median"))
+    return stats.join(middle, by, "left").select(by, "n", "mean", "median", "std", "pct_above", *(["min", "max"] if spread else []))
 
 
 def score_distribution(rows: DataFrame, fake: str, score: str) -> DataFrame:
     """Real against fake: number, mean, median, deviation, and the 95th percentile of real or 5th of fake scores."""
-    tail = F.when(F.first(fake), F.percentile(score, 0.05)).otherwise(F.percentile(score, 0.95))
-    return rows.groupBy(fake).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.percentile(score, 0.5).alias("median"), F.stddev_pop(score).alias("std"), tail.alias("tail"))
+    stats = rows.groupBy(fake).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    found = exact_percentiles(rows, score, [0.05, 0.5, 0.95], [fake]).select(fake, F.col("percentiles")[1].alias("median"), F.when(F.col(fake), F.col("percentiles")[0]).otherwise(F.col("percentiles")[2]).alias("tail"))
+    return stats.join(found, fake, "left").select(fake, "n", "mean", "median", "std", "tail")
 
 
 def label_coverage(labels: DataFrame, scores: DataFrame, key: str) -> DataFrame:
@@ -92,8 +95,11 @@ def feature_report(rows: DataFrame, names: list[str], truth: str, low: list[str]
     long = rows.select(F.col(truth).alias("truth"), F.inline(pairs)).where("value is not null")
     directed = long.withColumn("directed", F.when(F.col("feature").isin(low), -F.col("value")).otherwise(F.col("value")))
     real, fake = F.when(~F.col("truth"), F.col("value")), F.when(F.col("truth"), F.col("value"))
-    stats = long.groupBy("feature").agg(F.count("*").alias("n_valid"), F.percentile(real, 0.5).alias("median_real"), F.percentile(fake, 0.5).alias("median_fake"), F.avg(real).alias("mean_real"), F.avg(fake).alias("mean_fake"))
+    stats = long.groupBy("feature").agg(F.count("*").alias("n_valid"), F.avg(real).alias("mean_real"), F.avg(fake).alias("mean_fake"))
+    middle = exact_percentiles(long.where("truth is not null"), "value", [0.5], ["feature", "truth"])
+    median = lambda t: F.max(F.when(F.col("truth") == t, F.col("percentiles")[0]))
+    middle = middle.groupBy("feature").agg(median(False).alias("median_real"), median(True).alias("median_fake"))
     areas = auc(directed, "truth", "directed", ["feature"], empty=0.5).select("feature", "auc")
-    out = stats.join(areas, "feature", "left")
+    out = stats.join(middle, "feature", "left").join(areas, "feature", "left").select("feature", "n_valid", "median_real", "median_fake", "mean_real", "mean_fake", "auc")
     status = F.when(F.col("n_valid") < least, "too_few_valid").otherwise("ok")
     return out.withColumns({"status": status, "auc": F.when(F.col("n_valid") >= least, F.col("auc"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwise import spec
 
-from .prefix import exact_percentiles
+from .prefix import exact_percentiles, fitted, running_sums
 
 
 def observed(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -16,50 +16,47 @@ def observed(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(F.inline(pairs)).where("value is not null")
 
 
-def baseline(rows: DataFrame, names: list[str], values: bool = False) -> DataFrame:
-    """feature, n, mean, std (population) and percentiles; with ``values`` also the sorted values, for percentile ranks."""
+def baseline(rows: DataFrame, names: list[str]) -> DataFrame:
+    """feature, n, mean, std (population) and percentiles.  Percentile ranks take the values themselves, see ``ranks_in_baseline``."""
     marks = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     long = observed(rows, names)
-    aggs = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
-    if values:
-        aggs.append(F.sort_array(F.collect_list("value")).alias("sorted_values"))
-    out = long.groupBy("feature").agg(*aggs).join(exact_percentiles(long, "value", list(marks.values()), ["feature"]), "feature")
-    return out.select("feature", "n", "mean", "std", *[F.col("percentiles")[i].alias(p) for i, p in enumerate(marks)], *(["sorted_values"] if values else []))
+    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    out = stats.join(exact_percentiles(long, "value", list(marks.values()), ["feature"]), "feature")
+    return out.select("feature", "n", "mean", "std", *[F.col("percentiles")[i].alias(p) for i, p in enumerate(marks)])
 
 
 def ranks_in_baseline(rows: DataFrame, base: DataFrame) -> DataFrame:
     """Rows (feature, value, ...) with ``percentile_rank`` among the baseline's (feature, value); 50 without a baseline.
 
-    Equal values are counted first, so the window runs over distinct values, and no baseline is collected or broadcast.
+    Equal values are counted first, and their running counts taken by ranges, so no feature and no baseline is gathered.
     """
-    from pyspark.sql import Window
-
     counts = base.groupBy("feature", "value").agg(F.count("*").alias("__n"))
     asked = rows.select("feature", "value").where("value is not null").distinct().withColumn("__n", F.lit(0).cast("long"))
-    w = Window.partitionBy("feature").orderBy("value")
     merged = counts.unionByName(asked).groupBy("feature", "value").agg(F.sum("__n").alias("__n"))
-    below = merged.select("feature", "value", F.sum("__n").over(w).alias("__below"), F.sum("__n").over(Window.partitionBy("feature")).alias("__total"))
+    below = running_sums(merged, "value", {"__before": "__n"}, by=["feature"]).select("feature", "value", (F.col("__before") + F.col("__n")).alias("__below"))
+    totals = base.groupBy("feature").agg(F.count("*").alias("__total"))  # a row for each feature
     rank = F.when(F.coalesce("__total", F.lit(0)) == 0, 50).otherwise(F.bround(F.try_divide(F.lit(100.0) * F.col("__below"), "__total")).cast("int"))
-    return rows.join(below, ["feature", "value"], "left").withColumn("percentile_rank", F.when(F.col("value").isNotNull(), rank)).drop("__below", "__total")
+    met = rows.join(below, ["feature", "value"], "left").join(F.broadcast(totals), "feature", "left")
+    return met.withColumn("percentile_rank", F.when(F.col("value").isNotNull(), rank)).drop("__below", "__total")
 
 
 def scaler(rows: DataFrame, names: list[str]) -> DataFrame:
-    """One row with center and scale of each feature: median and p75 - p25, 1 where that is under 1e-8."""
+    """One row with center and scale of each feature: median and p75 - p25, 1 where that is under 1e-8.  Worked out at once."""
     found = exact_percentiles(observed(rows, names), "value", [0.25, 0.5, 0.75], ["feature"])
     aggs = []
     for n in names:
         p = F.max(F.when(F.col("feature") == n, F.col("percentiles")))
         width = p[2] - p[0]
         aggs += [F.coalesce(p[1], F.lit(0.0)).alias(f"{n}__center"), F.when(width >= 1e-8, width).otherwise(1.0).alias(f"{n}__scale")]
-    return found.agg(*aggs)
+    return fitted(found.agg(*aggs))
 
 
-def scaled(rows: DataFrame, names: list[str], fitted: DataFrame, fill: bool = False) -> DataFrame:
+def scaled(rows: DataFrame, names: list[str], fit: DataFrame, fill: bool = False) -> DataFrame:
     """``rows`` with their features scaled; with ``fill`` unobserved ones are 0 and ``<name>__seen`` tells.
 
-    ``fitted`` has one row, so every row meets it by a broadcast.
+    ``fit`` has one row, so every row meets it by a broadcast.
     """
-    out = rows.join(F.broadcast(fitted))
+    out = rows.join(F.broadcast(fit))
     value = lambda n: (F.col(n) - F.col(f"{n}__center")) / F.col(f"{n}__scale")
     seen = {f"{n}__seen": F.col(n).isNotNull() for n in names} if fill else {}
     new = {n: F.coalesce(value(n), F.lit(0.0)) if fill else value(n) for n in names}
@@ -76,9 +73,10 @@ def with_masks(rows: DataFrame, names: list[str], modality: str) -> DataFrame:
 
 
 def threshold(scores: DataFrame, score: str, percentile: float = spec.THRESHOLD_PERCENTILE) -> DataFrame:
-    """threshold (largest score + 1e-8 if the percentile isn't positive), mean, median and largest score, number."""
+    """threshold (largest score + 1e-8 if the percentile isn't positive), mean, median and largest score, number; worked out at once."""
     found = exact_percentiles(scores, score, [percentile, 0.5])
     stats = scores.agg(F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.count(score).alias("n"))
     p = F.col("percentiles")[0]
     out = stats.join(F.broadcast(found.select("percentiles")), how="left")
-    return out.select(F.when(p > 0, p).otherwise(F.col("max_score") + 1e-8).alias("threshold"), "mean_score", F.col("percentiles")[1].alias("median_score"), "max_score", "n")
+    out = out.select(F.when(p > 0, p).otherwise(F.col("max_score") + 1e-8).alias("threshold"), "mean_score", F.col("percentiles")[1].alias("median_score"), "max_score", "n")
+    return fitted(out)

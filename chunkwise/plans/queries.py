@@ -12,7 +12,7 @@ from chunkwise.functions import arrays as A
 from chunkwise.functions import scalar as S
 from chunkwise.functions import text as T
 from chunkwise.operators import assemble, evaluate, features, retrieve, scale, score, segment, split
-from chunkwise.operators.prefix import exact_percentiles
+from chunkwise.operators.prefix import exact_percentiles, fitted
 
 from . import fixtures as X
 from .prompt import prompts
@@ -213,7 +213,7 @@ def transcript_full_outer(spark, sf):
 
 def _error_rates(spark, sf) -> DataFrame:
     pairs = _transcripts(spark, sf).select("conv_id", "chunk", "ok", T.words_of(T.normalized("asr_text")).alias("ref"), T.words_of(T.normalized("vsr_text")).alias("hyp"))
-    out = pairs.withColumn("edit_distance", F.when(F.col("ok"), T.word_distance(F.col("ref"), F.col("hyp"))))
+    out = pairs.withColumn("edit_distance", T.word_distance(F.when(F.col("ok"), F.col("ref")), F.when(F.col("ok"), F.col("hyp"))))
     wer = F.when(F.col("ok"), T.error_rate(F.col("ref"), F.col("hyp"), "edit_distance"))
     return out.withColumn("wer", wer).select("conv_id", "chunk", "ok", F.size("ref").alias("ref_words"), F.size("hyp").alias("hyp_words"), "edit_distance", F.round("wer", 6).alias("wer"), F.round(1 - F.least(F.lit(1.0), "wer"), 6).alias("ccfd_score"))
 
@@ -411,9 +411,9 @@ def _chunk_scores(spark, sf) -> DataFrame:
     """Chunks of users with flicker features, scored by the mean square of their scaled features, with the threshold."""
     flick = features.flicker(X.chunk_frames(spark, sf), ["user_id", "chunk_idx", "chunk_id", "start_sec", "end_sec"], ["t", "event_id"], "value")
     names = ["mean_value", "max_flicker", "flicker_variance"]
-    fitted = scale.scaled(flick, names, scale.scaler(flick, names), fill=True)
-    rows = fitted.withColumn("score", F.round(score.masked_mean_square(names, [f"{n}__seen" for n in names]), 6))
-    limit = exact_percentiles(rows, "score", [0.95]).select(F.round(F.col("percentiles")[0], 6).alias("threshold"))
+    ready = scale.scaled(flick, names, scale.scaler(flick, names), fill=True)
+    rows = ready.withColumn("score", F.round(score.masked_mean_square(names, [f"{n}__seen" for n in names]), 6))
+    limit = fitted(exact_percentiles(rows, "score", [0.95]).select(F.round(F.col("percentiles")[0], 6).alias("threshold")))
     return rows.join(F.broadcast(limit)).select("user_id", "chunk_id", "start_sec", "end_sec", "score", "threshold", S.level(S.normalized_score("score", "threshold")).alias("level"))
 
 
@@ -563,7 +563,6 @@ def mvae_scores(spark, sf):
     from chunkwise.operators.model import score_rows, train
 
     rows = X.measurements(spark, sf)
-    fitted = scale.scaler(rows.where("l_returnflag = 'N'"), X.FEATURES)
-    ready = scale.scaled(rows, X.FEATURES, fitted, fill=True)
+    ready = scale.scaled(rows, X.FEATURES, scale.scaler(rows.where("l_returnflag = 'N'"), X.FEATURES), fill=True)
     model = train(ready.where("l_returnflag = 'N'"), X.FEATURES[:2], X.FEATURES[2:])
     return score_rows(ready, model, ["l_orderkey", "l_linenumber"])
