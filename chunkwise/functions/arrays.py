@@ -40,14 +40,20 @@ def stacked(values, by: int = 4) -> Column:
 
 
 def smoothed(values, alpha: float = 0.65) -> Column:
-    """Exponential smoothing with weight ``alpha`` on the state; nulls keep it, the first value sets it."""
-    start = F.struct(F.lit(None).cast("double").alias("state"), F.array().cast("array<double>").alias("out"))
+    """Exponential smoothing with weight ``alpha`` on the state; nulls keep it, the first value sets it.
+
+    Results are gathered in blocks of 64, so that appending doesn't copy all of them each time.
+    """
+    none = F.array().cast("array<double>")
+    start = F.struct(F.lit(None).cast("double").alias("state"), F.array().cast("array<array<double>>").alias("done"), none.alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
         state = F.when(acc["state"].isNull(), x).when(x.isNull(), acc["state"]).otherwise(F.lit(alpha) * acc["state"] + F.lit(1 - alpha) * x)
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(state)).alias("out"))
+        full = F.size(acc["last"]) >= 64
+        done = F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"])
+        return F.struct(state.alias("state"), done.alias("done"), F.concat(F.when(full, none).otherwise(acc["last"]), F.array(state)).alias("last"))
 
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    return F.aggregate(values, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))
 
 
 def evenly(total, n: int) -> Column:

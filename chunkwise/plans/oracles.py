@@ -73,6 +73,17 @@ def _expanded(text: str) -> str:
     return text
 
 
+def _words(text: str) -> str:
+    """The words of a normalised text; the tables' texts have no digits."""
+    fillers = ", ".join(f"'{w}'" for w in spec.FILLERS)
+    lower = f"replace(lower(coalesce({text}, '')), '’', '''')"
+    return "list_filter(regexp_split_to_array(regexp_replace(" + _expanded(lower) + r", '[^a-z\s]', ' ', 'g'), '\s+'), lambda w: w NOT IN ('', " + fillers + "))"
+
+
+def _tail_trimmed(text: str) -> str:
+    return rf"trim(regexp_replace(trim(regexp_replace(coalesce({text}, ''), '\s+', ' ', 'g')), '(?i)(^|\s+)((^|\s*)\b({'|'.join(spec.TAIL_WORDS)})\b)+$', ''))"
+
+
 def _top(n: int) -> str:
     errors = [f"CASE WHEN {x}__seen THEN round({x} * {x}, 9) END" for x in NAMES]
     rows = ", ".join(f"{{'e': -({e}), 'at': {i}, 'name': '{x}'}}" for i, (x, e) in enumerate(zip(NAMES, errors, strict=True)))
@@ -83,7 +94,33 @@ def _stats(by: str, spread: str = "") -> str:
     return f"SELECT {by}, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, round(stddev_pop(score), 6) AS std, round(avg((score > 7)::INT::DOUBLE) * 100, 6) AS pct_above{spread} FROM x GROUP BY {by}"
 
 
+#: Edit distances by rows of the dynamic programme: a cell is its column plus the least so far of what comes from above, less the column.
+ERROR_RATES = f"""WITH RECURSIVE {PAIRS},
+p AS (SELECT conv_id, chunk, coalesce(u.text IS NOT NULL AND r.text IS NOT NULL AND u.ok AND r.ok, false) AS ok, {_words("u.text")} AS ref, {_words("r.text")} AS hyp FROM u FULL JOIN r USING (conv_id, chunk)),
+dp AS (
+  SELECT conv_id, chunk, ref, hyp, 0 AS i, range(0, len(hyp) + 1) AS cells FROM p WHERE ok
+  UNION ALL
+  SELECT conv_id, chunk, ref, hyp, i + 1, list_transform(range(0, len(hyp) + 1), lambda j: j + list_min(above[1:j + 1])) FROM (
+    SELECT *, list_transform(range(0, len(hyp) + 1), lambda k: CASE WHEN k = 0 THEN cells[1] + 1 ELSE least(cells[k + 1] + 1, cells[k] + (hyp[k] <> ref[i + 1])::BIGINT) - k END) AS above FROM dp WHERE i < len(ref))),
+e AS (SELECT p.conv_id, p.chunk, p.ok, len(p.ref)::INT AS ref_words, len(p.hyp)::INT AS hyp_words, dp.cells[len(p.hyp) + 1]::INT AS edit_distance FROM p LEFT JOIN dp ON dp.conv_id = p.conv_id AND dp.chunk = p.chunk AND dp.i = len(p.ref)),
+w AS (SELECT *, CASE WHEN ok THEN CASE WHEN ref_words = 0 THEN (hyp_words > 0)::INT::DOUBLE ELSE edit_distance / ref_words::DOUBLE END END AS rate FROM e),
+er AS (SELECT conv_id, chunk, ok, ref_words, hyp_words, edit_distance, round(rate, 6) AS wer, CASE WHEN ok THEN round(1 - least(1, rate), 6) END AS ccfd_score FROM w)"""
+
 ORACLE: dict[str, str] = {
+    "wer_pairs": ERROR_RATES + " SELECT * FROM er",
+    "wer_video_summary": ERROR_RATES
+    + """ SELECT conv_id, count(*) AS num_chunks, round(avg(wer), 9) AS mean_wer, quantile_cont(wer, 0.5) AS median_wer, round(avg(ccfd_score), 9) AS mean_score, quantile_cont(ccfd_score, 0.5) AS median_score,
+  arg_max(chunk, (wer, -chunk)) FILTER (wer IS NOT NULL) AS worst_chunk, arg_min(chunk, (wer, chunk)) FILTER (wer IS NOT NULL) AS best_chunk FROM er GROUP BY 1""",
+    "smoothed_series": f"""WITH RECURSIVE {FRAMES}, x AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM f),
+s AS (SELECT user_id, i, v AS state FROM x WHERE i = 0
+  UNION ALL SELECT x.user_id, x.i, CASE WHEN s.state IS NULL THEN x.v WHEN x.v IS NULL THEN s.state ELSE 0.65::DOUBLE * s.state + (1 - 0.65::DOUBLE) * x.v END FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1)
+SELECT user_id, i::INT AS i, round(state, 6) AS value FROM s""",
+    "repetition_collapse": rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents), w AS (SELECT doc_id, s, string_split(s, ' ') AS w FROM t),
+u AS (SELECT *, CASE WHEN s <> '' THEN list_reverse(range(4, least(24, len(w) // 3) + 1)) ELSE []::BIGINT[] END AS units FROM w),
+n AS (SELECT *, list_filter(units, lambda u: w[u + 1:2 * u] = w[1:u]) AS near FROM u),
+r AS (SELECT *, list_transform(near, lambda u: {{'u': u, 'r': coalesce(list_filter(range(2, len(w) // u + 1), lambda k: w[(k - 1) * u + 1:k * u] <> w[1:u])[1] - 1, len(w) // u)}}) AS runs FROM n),
+c AS (SELECT *, list_filter(runs, lambda x: x.r >= 3 AND x.r * x.u / len(w)::DOUBLE >= 0.75)[1].u AS unit FROM r)
+SELECT doc_id, unit IS NOT NULL AS repeated, length(CASE WHEN unit IS NOT NULL THEN {_tail_trimmed("array_to_string(w[1:unit], ' ')")} ELSE s END)::INT AS n_chars FROM c""",
     "chunk_sliding": f"WITH {CHUNKS} SELECT user_id, chunk_idx::INT AS chunk_idx, chunk_id, round(s, 6) AS start_sec, round(e, 6) AS end_sec, round_even(s * 25, 0)::INT AS start_frame, round_even(e * 25, 0)::INT AS end_frame FROM c",
     "slide_tumbling": f"""WITH {CHUNKS}, r AS (SELECT user_id, chunk_id, round(s, 6) AS s, round(e, 6) AS e FROM c)
 SELECT user_id, chunk_id || '_slide_' || printf('%03d', i) AS slide_id, i::INT AS slide_idx, round(s + i * 0.5::DOUBLE, 6) AS slide_start, round(least(s + i * 0.5::DOUBLE + 0.5, e), 6) AS slide_end

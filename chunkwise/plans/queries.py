@@ -215,7 +215,7 @@ def _error_rates(spark, sf) -> DataFrame:
     pairs = _transcripts(spark, sf).select("conv_id", "chunk", "ok", T.words_of(T.normalized("asr_text")).alias("ref"), T.words_of(T.normalized("vsr_text")).alias("hyp"))
     out = pairs.withColumn("edit_distance", T.word_distance(F.when(F.col("ok"), F.col("ref")), F.when(F.col("ok"), F.col("hyp"))))
     wer = F.when(F.col("ok"), T.error_rate(F.col("ref"), F.col("hyp"), "edit_distance"))
-    return out.withColumn("wer", wer).select("conv_id", "chunk", "ok", F.size("ref").alias("ref_words"), F.size("hyp").alias("hyp_words"), "edit_distance", F.round("wer", 6).alias("wer"), F.round(1 - F.least(F.lit(1.0), "wer"), 6).alias("ccfd_score"))
+    return out.withColumn("wer", wer).select("conv_id", "chunk", "ok", F.size("ref").alias("ref_words"), F.size("hyp").alias("hyp_words"), "edit_distance", F.round("wer", 6).alias("wer"), F.when(F.col("wer").isNotNull(), F.round(1 - F.least(F.lit(1.0), "wer"), 6)).alias("ccfd_score"))
 
 
 @query
@@ -225,7 +225,8 @@ def wer_pairs(spark, sf):
 
 @query
 def wer_video_summary(spark, sf):
-    return assemble.content_summary(_error_rates(spark, sf), "conv_id", "chunk", "wer", "ccfd_score")
+    out = assemble.content_summary(_error_rates(spark, sf), "conv_id", "chunk", "wer", "ccfd_score")
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_wer", "mean_score")})
 
 
 @query
