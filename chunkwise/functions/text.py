@@ -16,7 +16,7 @@ from .scalar import col
 
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-# Names of 1000 ** k, k = 1 to 100, by the rule of the short scale: a unit's and a ten's Latin stem.
+# Names of 1000 ** k, k = 1 to 101, by the rule of the short scale: a unit's and a ten's Latin stem.
 _STEMS = ["m", "b", "tr", "quadr", "quint", "sext", "sept", "oct", "non", *(u + t for t in "dec vigint trigint quadragint quinquagint sexagint septuagint octogint nonagint".split() for u in ("", *"un duo tre quattuor quin sex sept octo novem".split())), "cent"]
 _SCALES = ["thousand", *(x + "illion" for x in _STEMS)]
 #: A mark between pieces of a text that are replaced one by one.
@@ -37,7 +37,7 @@ def _below_thousand(n: Column) -> Column:
 
 
 def number_words(digits) -> Column:
-    """English words of a whole number, without hyphens or commas; from 1000 ** 101 on, which has no name, it stays as it is."""
+    """English words of a whole number, without hyphens or commas; from 1000 ** 102 on, which has no name, it stays as it is."""
     d = F.regexp_replace(col(digits), "^0+", "")
     n = F.ceil(F.length(d) / F.lit(3)).cast("int")
     padded = F.lpad(d, n * 3, "0")

@@ -83,6 +83,21 @@ def verdict_metrics(rows: DataFrame, tasks: dict[str, tuple[str, str]], label: s
     return binary_metrics(certain.select(F.inline(pairs)), "truth", "predicted", ["task"])
 
 
+def verdict_breakdown(rows: DataFrame, tasks: dict[str, tuple], groups: dict[str, Column], label: str = "label") -> DataFrame:
+    """``verdict_metrics`` of each task, and of the first task within each value of ``groups``: task, value (null for all), the metrics."""
+    whole = [(n, F.lit(None).cast("string"), t, p) for n, (t, p) in tasks.items()]
+    truth, predicted = next(iter(tasks.values()))
+    every = whole + [(n, c, truth, predicted) for n, c in groups.items()]
+    pairs = F.array(*[F.struct(F.lit(n).alias("task"), v.alias("value"), F.coalesce(t, F.lit(False)).alias("truth"), F.coalesce(p, F.lit(False)).alias("predicted")) for n, v, t, p in every])
+    return binary_metrics(rows.where(F.col(label).isin("FAKE", "GENUINE")).select(F.inline(pairs)), "truth", "predicted", ["task", "value"])
+
+
+def with_evidence_only(rows: DataFrame, analysed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Judged rows whose key was analysed, and one row with the number of those excluded."""
+    keys = analysed.select(key).distinct()
+    return rows.join(keys, key, "left_semi"), rows.join(keys, key, "left_anti").agg(F.count("*").alias("excluded"))
+
+
 def histogram(rows: DataFrame, values: list[str]) -> DataFrame:
     """(field, value, n), with UNKNOWN for what is missing."""
     pairs = F.array(*[F.struct(F.lit(v).alias("field"), F.coalesce(F.col(v).cast("string"), F.lit("UNKNOWN")).alias("value")) for v in values])

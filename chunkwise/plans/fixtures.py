@@ -51,3 +51,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
+
+
+ROOT = "store/interim"
+
+
+def slide_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of slides, as if each event had left a file: every third user's chunks are in a cache, clicks are landmarks."""
+    e = frames(spark, sf_dir)
+    cache = F.when(F.col("user_id") % 3 == 0, "/cache").otherwise("")
+    kind = F.when(F.col("event_type") == "click", "landmarks").otherwise("faces")
+    path = F.format_string(f"{ROOT}/user_%d%s/chunk_%04d/slides/slide_%03d_%s.npy", "user_id", cache, F.floor(F.col("t") / 4).cast("int"), (F.col("event_id") % 12).cast("int"), kind)
+    return e.select(path.alias("path")).distinct()

@@ -253,3 +253,56 @@ SELECT video_id, n_chunks, CASE WHEN n >= 2 AND before < greatest(1, round_even(
     "balance_select": f"WITH {SIZES} SELECT video_id, n_chunks FROM sz JOIN customer ON c_custkey = video_id WHERE c_acctbal > 0 ORDER BY n_chunks DESC, video_id LIMIT 712",
     "round_robin": "SELECT s_suppkey, ((row_number() OVER (ORDER BY s_suppkey) - 1) % 3)::INT AS shard FROM supplier",
 }
+
+_SLIDES = FRAMES + """, sl AS (SELECT DISTINCT user_id, user_id % 3 = 0 AS cached, floor(t / 4)::INT AS chunk, (event_id % 12)::INT AS idx, event_type = 'click' AS landmark FROM f),
+sd AS (SELECT *, 'store/interim/user_' || user_id || CASE WHEN cached THEN '/cache' ELSE '' END || printf('/chunk_%04d', chunk) AS dir FROM sl),
+sp AS (SELECT dir || '/slides' AS slides_dir, user_id, chunk, cached, printf('slide_%03d', idx) AS slide_id, idx AS slide_idx, dir || printf('/slides/slide_%03d_faces.npy', idx) AS faces_path, dir || printf('/slides/slide_%03d_landmarks.npy', idx) AS landmarks_path
+  FROM sd GROUP BY ALL HAVING bool_or(landmark) AND bool_or(NOT landmark))"""
+_CONTEXTS = CHUNK_SCORES + """, lx AS (
+  SELECT user_id, chunk_id, 'max_blur_flicker' AS feature, round(nullif(max_flicker, 0), 6) AS value FROM fl UNION ALL SELECT user_id, chunk_id, 'blur_flicker_variance', round(nullif(flicker_variance, 0), 6) FROM fl
+  UNION ALL SELECT user_id, chunk_id, 'blinking_variance', round(nullif(mean_value, 0), 6) FROM fl),
+gb AS (SELECT feature, value FROM lx WHERE user_id % 2 = 0 AND value IS NOT NULL),
+gs AS (SELECT feature, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, count(*) AS n FROM gb GROUP BY 1),
+gr AS (SELECT lx.user_id, lx.chunk_id, lx.feature, lx.value, count(gb.value) AS below FROM lx LEFT JOIN gb ON gb.feature = lx.feature AND gb.value <= lx.value GROUP BY ALL),
+fc AS (SELECT user_id, chunk_id, feature, value, CASE WHEN value IS NOT NULL THEN p50 END AS genuine_p50, CASE WHEN value IS NOT NULL THEN p95 END AS genuine_p95, CASE WHEN value IS NOT NULL THEN round_even(100 * below / n::DOUBLE, 0)::INT END AS percentile_rank FROM gr LEFT JOIN gs USING (feature)),
+fx AS (SELECT *, CASE WHEN percentile_rank >= 95 THEN 'FAR_ABOVE_NORMAL' WHEN percentile_rank >= 80 THEN 'ABOVE_NORMAL' WHEN percentile_rank <= 5 THEN 'FAR_BELOW_NORMAL' WHEN percentile_rank <= 20 THEN 'BELOW_NORMAL' WHEN percentile_rank IS NOT NULL THEN 'NORMAL' END AS signal FROM fc)"""
+_REPORT = """rp AS (SELECT o_custkey AS video_id, o_orderkey AS chunk_id, CASE WHEN o_custkey % 4 = 0 THEN 'audio_artifacts_completed' ELSE 'visual_only' END AS status, CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS payload FROM orders),
+pt AS (SELECT o_custkey AS video_id, o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1000000000 ELSE 0 END AS chunk_id, o_orderstatus <> 'F' AS ok, -o_totalprice AS payload FROM orders WHERE o_orderpriority < '3')"""
+
+ORACLE |= {
+    "feature_context": f"WITH {_CONTEXTS} SELECT * FROM fx",
+    "pattern_types": f"""WITH {_CONTEXTS}, g AS (SELECT user_id, feature = 'blinking_variance' AS second, CASE WHEN signal = CASE WHEN feature = 'blinking_variance' THEN 'FAR_BELOW_NORMAL' ELSE 'FAR_ABOVE_NORMAL' END THEN 2
+  WHEN signal = CASE WHEN feature = 'blinking_variance' THEN 'BELOW_NORMAL' ELSE 'ABOVE_NORMAL' END THEN 1 ELSE 0 END AS grade FROM fx),
+w AS (SELECT user_id, ['NORMAL', 'ELEVATED', 'CRITICAL'][max(grade) FILTER (NOT second) + 1] AS group_1, ['NORMAL', 'ELEVATED', 'CRITICAL'][max(grade) FILTER (second) + 1] AS group_2 FROM g GROUP BY 1)
+SELECT user_id, group_1, group_2, 'NORMAL' AS group_3, 'NORMAL' AS group_4, CASE WHEN group_1 = 'CRITICAL' AND group_2 = 'CRITICAL' THEN 'FACE SWAP' WHEN group_1 = 'NORMAL' AND group_2 = 'NORMAL' THEN 'GENUINE' ELSE 'UNCERTAIN' END AS manipulation_type FROM w""",
+    "frame_groups": f"""WITH {CHUNK_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank FROM cs)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY rank) - 1)::INT AS i, printf('Frames for %s [%.1fs-%.1fs]', chunk_id, start_sec, end_sec) AS label,
+  array_to_string(list_transform(range(0, rank + 1), lambda k: 'packages/' || user_id || '/' || chunk_id || '_frame_' || k || '.jpg'), ',') AS paths FROM r WHERE rank IN (1, 3)""",
+    "chunk_discovery": f"WITH {_SLIDES} SELECT DISTINCT unnest(['deep', 'direct_else_cache', 'both_with_slides']) AS variant, 'user_' || user_id AS video_id, printf('chunk_%04d', chunk) AS chunk_id, dir AS chunk_dir, chunk::BIGINT AS chunk_number FROM sd",
+    "slide_pairs": f"""WITH {_SLIDES}, i AS (SELECT *, slide_idx - row_number() OVER (PARTITION BY slides_dir ORDER BY slide_idx) AS island FROM sp),
+r AS (SELECT slides_dir, island, count(*) AS n, min(slide_idx) AS a FROM i GROUP BY slides_dir, island QUALIFY row_number() OVER (PARTITION BY slides_dir ORDER BY n DESC, a) = 1)
+SELECT slides_dir, slide_id, slide_idx, faces_path, landmarks_path FROM i JOIN r USING (slides_dir, island)""",
+    "discovered_pairs": f"WITH {_SLIDES} SELECT 'user_' || user_id AS video_id, printf('chunk_%04d', chunk) AS chunk_id, faces_path, landmarks_path FROM sp WHERE NOT cached",
+    "layout_router": """WITH x AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'train' WHEN 'MACHINERY' THEN 'val' END AS layout_group, c_mktsegment FROM customer)
+SELECT m AS mode, c_custkey, layout_group FROM x, (VALUES ('genuine'), ('infer')) v(m) WHERE layout_group IS NOT NULL UNION ALL SELECT 'flat', c_custkey, NULL FROM x WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')""",
+    "chunk_videos": """SELECT 'v' || o_custkey AS video_id, printf('chunk_%04d', o_orderkey % 40) AS chunk_id, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'store/interim/v' || o_custkey || printf('/chunk_%04d', o_orderkey % 40) || '/video.mp4' END AS video_path FROM orders GROUP BY o_custkey, o_orderkey % 40""",
+    "slide_metadata": """WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i, l_quantity FROM lineitem WHERE l_discount > 0.02)
+SELECT l.l_orderkey AS chunk_dir, (l.l_linenumber - 1)::INT AS slide_idx, m.l_quantity AS start_sec, m.l_quantity + 0.5 AS end_sec FROM lineitem l LEFT JOIN m ON m.l_orderkey = l.l_orderkey AND m.i = l.l_linenumber""",
+    "recording_fps": """SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'F') THEN (o_custkey % 30 + 1)::DOUBLE ELSE 25 END AS fps FROM orders GROUP BY 1""",
+    "report_patch": f"""WITH {_REPORT}, j AS (SELECT rp.*, pt.payload AS p, pt.chunk_id IS NOT NULL AS has FROM rp LEFT JOIN pt USING (video_id, chunk_id))
+SELECT video_id, chunk_id, CASE WHEN bool_or(has) OVER (PARTITION BY video_id) THEN 'fully_analyzed' ELSE status END AS status, CASE WHEN has THEN p ELSE payload END AS payload FROM j""",
+    "report_audio": f"WITH {_REPORT} SELECT video_id, chunk_id, 'audio_artifacts_completed' AS status, CASE WHEN status = 'audio_artifacts_completed' THEN rp.payload WHEN ok THEN pt.payload END AS payload FROM rp LEFT JOIN pt USING (video_id, chunk_id)",
+    "sync_video_summary": """WITH x AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN value < 80 THEN floor(value)::BIGINT END AS score FROM events), y AS (SELECT *, CASE WHEN status = 'ok' THEN score END AS s FROM x)
+SELECT user_id, count(*) AS num_chunks, count(s) AS num_ok, count(*) FILTER (status = 'skipped') AS num_skipped, count(*) FILTER (status = 'error') AS num_error, round(avg(s), 6) AS mean_score, round(stddev_pop(s), 6) AS std_score,
+  arg_max(event_id, (s, -event_id)) FILTER (s IS NOT NULL) AS best_chunk, max(s) AS best_chunk_score, arg_min(event_id, (s, event_id)) FILTER (s IS NOT NULL) AS worst_chunk, min(s) AS worst_chunk_score FROM y GROUP BY 1""",
+    "long_chunks": f"""WITH {FRAMES}, n AS (SELECT user_id, floor(t)::INT AS chunk, count(*) AS n FROM f GROUP BY 1, 2) SELECT user_id, chunk, 'at least' AS rule FROM n WHERE n >= 3 UNION ALL SELECT user_id, chunk, 'more' FROM n WHERE n > 3""",
+    "first_chunks": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 25",
+    "verdict_breakdown": f"""WITH {VERDICTS}, x AS (SELECT vd.*, lang, fake OR toxic AS truth, vd.label = 'FAKE' AS predicted FROM vd JOIN documents USING (doc_id) WHERE vd.label IN ('FAKE', 'GENUINE')),
+t AS (SELECT 'overall' AS task, NULL AS value, truth, predicted FROM x UNION ALL SELECT 'video', NULL, fake, video_fake FROM x UNION ALL SELECT 'audio', NULL, toxic, audio_fake FROM x
+  UNION ALL SELECT 'method', CASE WHEN lang = 'en' OR lang IS NULL THEN CASE WHEN truth THEN 'real_video_audio_only_fake' ELSE 'real' END ELSE lang END, truth, predicted FROM x
+  UNION ALL SELECT 'type', CASE WHEN fake AND toxic THEN 'both' WHEN fake THEN 'video_only' WHEN toxic THEN 'audio_only' ELSE 'real' END, truth, predicted FROM x),
+c AS (SELECT task, value, {CONFUSION} FROM t GROUP BY 1, 2) SELECT *, {RATES} FROM c""",
+    "verdict_evidence": f"""WITH {VERDICTS}, k AS (SELECT doc_id FROM documents WHERE n_chars > 900) SELECT 'label' AS field, coalesce(label, 'UNKNOWN') AS value, count(*) AS n, (SELECT count(*) FROM vd ANTI JOIN k USING (doc_id)) AS excluded FROM vd SEMI JOIN k USING (doc_id) GROUP BY 2""",
+    "usage_counts": """WITH x AS (SELECT CASE WHEN o_orderstatus = 'F' AND o_orderpriority < '3' THEN 'genuine_train' WHEN o_orderstatus NOT IN ('F', 'O') AND o_orderpriority < '3' THEN 'genuine_val'
+  WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '5%' THEN 'eval_track2' WHEN o_orderstatus = 'O' THEN 'eval_track1' END AS usage FROM orders) SELECT usage, count(*) AS n FROM x WHERE usage IS NOT NULL GROUP BY 1""",
+}

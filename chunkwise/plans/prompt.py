@@ -78,11 +78,19 @@ def user_prompt(top: Column, evidence: Column | None = None) -> Column:
 
 
 def prompts(chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(video_id, prompt) from scored chunks: video_id, chunk_id, start_sec, end_sec, score, threshold, level."""
-    fields = ("chunk_id", "start_sec", "end_sec", "score", "level")
-    top = top_chunks(chunks, k=k).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("top"))
+    """(video_id, prompt) from scored chunks: video_id, chunk_id, start_sec, end_sec, score, threshold, level.
+
+    With ``entries``, a map of each chunk's features to their contexts (see ``feature_contexts``), and n_frames,
+    modalities_analyzed and modalities_missing, the prompt has the evidence of each top chunk, in order of rank.
+    """
+    more = ("entries", "n_frames", "modalities_analyzed", "modalities_missing") if "entries" in chunks.columns else ()
+    fields = ("chunk_id", "start_sec", "end_sec", "score", "level", *more)
+    # a map can't be sorted, but ranks are distinct
+    ranked = F.array_sort(F.collect_list(F.struct("rank", *fields)), lambda a, b: a["rank"] - b["rank"])
+    top = top_chunks(chunks, k=k).groupBy("video_id").agg(ranked.alias("top"))
     rows = video_summary(chunks).join(top, "video_id", "left")
-    return rows.select("video_id", user_prompt(F.col("top")).alias("prompt"))
+    evidence = F.array_join(F.transform("top", lambda c: block_b(c, lambda n: F.try_element_at(c["entries"], F.lit(n)))), "\n\n") if more else None
+    return rows.select("video_id", user_prompt(F.col("top"), evidence).alias("prompt"))
 
 
 def rule_based_model(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,9 +11,11 @@ from chunkwise import spec
 from chunkwise.functions import arrays as A
 from chunkwise.functions import scalar as S
 from chunkwise.functions import text as T
-from chunkwise.operators import assemble, evaluate, features, retrieve, scale, score, segment, split
+from chunkwise.operators import assemble, evaluate, features, reports, retrieve, scale, score, segment, split
 from chunkwise.operators.prefix import exact_percentiles, fitted
 
+from chunkwise.sources import discovery
+
 from . import fixtures as X
 from .prompt import prompts
 
@@ -442,9 +444,144 @@ def branch_fusion(spark, sf):
     return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("scfd_scaled", "tcfd_scaled", "fused")])
 
 
+#: Measures of chunks under the names of the features that they stand for.
+_MEASURED = {"max_blur_flicker": "max_flicker", "blur_flicker_variance": "flicker_variance", "blinking_variance": "mean_value"}
+
+
+def _flickers(spark, sf) -> DataFrame:
+    keys = ["user_id", "chunk_idx", "chunk_id", "start_sec", "end_sec"]
+    return features.flicker(X.chunk_frames(spark, sf), keys, ["t", "event_id"], "value")
+
+
+def _contexts(spark, sf) -> DataFrame:
+    """(user_id, chunk_id, feature, value, entry): features of chunks against those of the users with even ids; a value of 0 is unobserved."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.nullif(F.col(c), F.lit(0.0)), 6).alias("value")) for n, c in _MEASURED.items()])
+    rows = _flickers(spark, sf).select("user_id", "chunk_id", F.inline(pairs))
+    return reports.feature_contexts(rows, rows.where("user_id % 2 = 0 and value is not null").select("feature", "value"))
+
+
+@query
+def feature_context(spark, sf):
+    return _contexts(spark, sf).select("user_id", "chunk_id", "feature", "entry.*")
+
+
+@query
+def pattern_types(spark, sf):
+    signals = _contexts(spark, sf).select("user_id", "feature", F.coalesce("entry.signal", F.lit("NORMAL")).alias("signal"))
+    worst = reports.worst_severities(signals, ["user_id"])
+    return worst.withColumn("manipulation_type", reports.manipulation_type([f"group_{i}" for i in range(1, 5)]))
+
+
 @query
 def evidence_prompt(spark, sf):
-    return prompts(_chunk_scores(spark, sf).withColumnRenamed("user_id", "video_id").withColumn("video_id", F.col("video_id").cast("string")))
+    chunks = _chunk_scores(spark, sf).withColumn("n_frames", F.lit(spec.FRAMES_PER_CHUNK))
+    entries = _contexts(spark, sf).groupBy("user_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "entry"))).alias("entries"), F.max(F.col("value").isNotNull()).alias("seen"))
+    analyzed, missing = reports.modalities(F.col("seen"), F.lit(False))
+    rows = chunks.join(entries, ["user_id", "chunk_id"]).withColumns({"modalities_analyzed": analyzed, "modalities_missing": missing}).drop("seen")
+    return prompts(rows.withColumnRenamed("user_id", "video_id").withColumn("video_id", F.col("video_id").cast("string")))
+
+
+@query
+def frame_groups(spark, sf):
+    top = retrieve.top_chunks(_chunk_scores(spark, sf), "user_id", k=3)
+    files = F.when(F.col("rank") != 2, F.transform(F.sequence(F.lit(0), F.col("rank")), lambda i: F.concat("chunk_id", F.lit("_frame_"), i.cast("string"), F.lit(".jpg"))))
+    package = top.withColumn("frame_files", files).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "start_sec", "end_sec", "frame_files"))).alias("top"))
+    groups = package.select("user_id", F.posexplode(reports.frame_groups(F.col("top"), F.concat(F.lit("packages/"), F.col("user_id")))).alias("i", "g"))
+    return groups.select("user_id", "i", "g.label", F.array_join("g.paths", ",").alias("paths"))
+
+
+# folders and reports
+
+
+@query
+def chunk_discovery(spark, sf):
+    out = None
+    for variant in discovery.VARIANTS:
+        one = discovery.chunk_folders(X.slide_paths(spark, sf), X.ROOT, variant).select(F.lit(variant).alias("variant"), "video_id", "chunk_id", "chunk_dir", "chunk_number")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def slide_pairs(spark, sf):
+    return discovery.slide_pairs(X.slide_paths(spark, sf)).select("slides_dir", "slide_id", "slide_idx", "faces_path", "landmarks_path")
+
+
+@query
+def discovered_pairs(spark, sf):
+    return discovery.discovered_pairs(X.slide_paths(spark, sf), X.ROOT)
+
+
+@query
+def layout_router(spark, sf):
+    c = X.table(spark, sf, "customer")
+    folder = F.when(F.col("c_mktsegment") == "BUILDING", "train/").when(F.col("c_mktsegment") == "MACHINERY", "val/").when(F.col("c_mktsegment") == "FURNITURE", "other/deep/").otherwise("")
+    files = c.select("c_custkey", F.concat(F.lit("raw/"), folder, F.col("c_custkey"), F.lit(".mp4")).alias("path"))
+    genuine = discovery.layout_groups(files, "raw", "genuine").withColumn("mode", F.lit("genuine"))
+    nested = discovery.layout_groups(files, "raw", "infer").withColumn("mode", F.lit("infer"))
+    flat = discovery.layout_groups(files.where(folder == ""), "raw", "infer").withColumn("mode", F.lit("flat"))
+    return genuine.unionByName(nested).unionByName(flat).select("mode", "c_custkey", "layout_group")
+
+
+@query
+def chunk_videos(spark, sf):
+    orders = X.table(spark, sf, "orders").select(F.format_string("v%d", "o_custkey").alias("video_id"), F.format_string("chunk_%04d", F.col("o_orderkey") % 40).alias("chunk_id"), "o_orderstatus")
+    files = orders.where("o_orderstatus = 'F'").select(F.concat_ws("/", F.lit(X.ROOT), "video_id", "chunk_id", F.lit("video.mp4")).alias("path")).distinct()
+    return discovery.with_video_file(orders.select("video_id", "chunk_id").distinct(), files, X.ROOT)
+
+
+@query
+def slide_metadata(spark, sf):
+    lines = X.table(spark, sf, "lineitem")
+    spans = F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("start_sec"), (F.col("l_quantity") + 0.5).alias("end_sec"))))
+    chunks = lines.where("l_discount > 0.02").groupBy(F.col("l_orderkey").alias("chunk_dir")).agg(spans.alias("slides"))
+    slides = lines.select(F.col("l_orderkey").alias("chunk_dir"), (F.col("l_linenumber") - 1).cast("int").alias("slide_idx"))
+    return discovery.slide_records(slides, chunks)
+
+
+@query
+def recording_fps(spark, sf):
+    chunks = X.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 30 + 1).alias("fps"))
+    return discovery.recording_fps(chunks, "o_custkey", ["o_orderkey"])
+
+
+def _report(spark, sf) -> DataFrame:
+    status = F.when(F.col("o_custkey") % 4 == 0, reports.DONE).otherwise("visual_only")
+    return X.table(spark, sf, "orders").select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("chunk_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).alias("payload"))
+
+
+def _patch(spark, sf) -> DataFrame:
+    return X.table(spark, sf, "orders").where("o_orderpriority < '3'").select(F.col("o_custkey").alias("video_id"), (F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", 1000000000).otherwise(0)).alias("chunk_id"), (F.col("o_orderstatus") != "F").alias("ok"), (-F.col("o_totalprice")).alias("payload"))
+
+
+@query
+def report_patch(spark, sf):
+    return reports.patched(_report(spark, sf), _patch(spark, sf), "payload")
+
+
+@query
+def report_audio(spark, sf):
+    return reports.with_audio(_report(spark, sf), _patch(spark, sf), "payload")
+
+
+@query
+def sync_video_summary(spark, sf):
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "skipped").otherwise("ok")
+    rows = X.table(spark, sf, "events").select("user_id", "event_id", status.alias("status"), F.when(F.col("value") < 80, F.floor("value")).alias("score"))
+    out = reports.sync_video_summary(rows, "user_id", "event_id", "status", "score")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "std_score")})
+
+
+@query
+def long_chunks(spark, sf):
+    sizes = X.frames(spark, sf).groupBy("user_id", F.floor("t").cast("int").alias("chunk")).agg(F.count("*").alias("n"), F.lit(2.0).alias("fps"))
+    kept = reports.long_enough(sizes, "n", "fps").select("user_id", "chunk", F.lit("at least").alias("rule"))
+    return kept.unionByName(reports.long_enough(sizes, "n", "fps", strict=True).select("user_id", "chunk", F.lit("more").alias("rule")))
+
+
+@query
+def first_chunks(spark, sf):
+    return reports.first_rows(X.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], 25)
 
 
 # evaluation
@@ -522,6 +659,26 @@ def verdict_metrics(spark, sf):
     return evaluate.verdict_metrics(rows, tasks)
 
 
+@query
+def verdict_breakdown(spark, sf):
+    rows = _verdicts(spark, sf).join(X.labelled(spark, sf).select("doc_id", "lang"), "doc_id")
+    tasks = {"overall": (F.col("fake") | F.col("toxic"), F.col("label") == "FAKE"), "video": (F.col("fake"), F.col("video_fake")), "audio": (F.col("toxic"), F.col("audio_fake"))}
+    groups = {"method": S.method_bucket(F.when(F.col("lang") != "en", F.col("lang")).otherwise(""), F.col("fake") | F.col("toxic")), "type": S.fake_type("fake", "toxic")}
+    return evaluate.verdict_breakdown(rows, tasks, groups)
+
+
+@query
+def verdict_evidence(spark, sf):
+    analysed = X.table(spark, sf, "documents").where("n_chars > 900").select("doc_id")
+    kept, excluded = evaluate.with_evidence_only(_verdicts(spark, sf), analysed, "doc_id")
+    return evaluate.histogram(kept, ["label"]).join(F.broadcast(excluded))
+
+
+@query
+def usage_counts(spark, sf):
+    return manifest_usage(spark, sf).groupBy("usage").agg(F.count("*").alias("n"))
+
+
 @query
 def verdict_hist(spark, sf):
     return evaluate.histogram(_verdicts(spark, sf), ["label", "confidence"])
