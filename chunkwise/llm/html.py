@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +34,9 @@ STOP_WORDS = (
     "al como con del desde donde el ella ellos en entre era es esta este ha hay la las lo los más me mi muy no nos o para pero por que se si sin sobre su sus también te un una y ya"
 ).split()
 
+# Marks that within an article are its own, such as the header of an entry.
+OWN_MARKS = "header masthead banner".split()
+
 #: Blocks with at least this share of their letters in links are furniture.
 LINK_DENSITY = 0.33
 #: Blocks of fewer characters are ambiguous.
@@ -40,7 +44,7 @@ SHORT = 70
 #: From this share of stop words on, a block that is not short is text.
 STOP_DENSITY = 0.08
 
-_SILENT, _FURNITURE, _BLOCKS, _VOID, _MARKS, _STOP = map(frozenset, (SILENT, FURNITURE, BLOCKS, VOID, MARKS, STOP_WORDS))
+_SILENT, _FURNITURE, _BLOCKS, _VOID, _MARKS, _OWN, _STOP = map(frozenset, (SILENT, FURNITURE, BLOCKS, VOID, MARKS, OWN_MARKS, STOP_WORDS))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<raw>" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
@@ -48,14 +52,31 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
+#: For the rest of a page after a tag that never closes its quotes: tags end at the first ">", so each is looked at once.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>[^>]*)>|(?P<text>[^<]+|<)", re.I | re.S)
+_TAG = re.compile(r"/?[a-zA-Z]|[!?]")
+_REST = re.compile(r"(?P<text>.+)|(?P<name>\Z)(?P<close>)(?P<rest>)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^a-z]+")
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def _marked(rest: str) -> bool:
-    return any(part in _MARKS for m in _NAMES.finditer(rest) for part in _PARTS.split((m[1] or m[2] or m[3] or "").lower()))
+def _marked(rest: str, inside: bool) -> bool:
+    marks = _MARKS - _OWN if inside else _MARKS
+    return any(part in marks for m in _NAMES.finditer(rest) for part in _PARTS.split((m[1] or m[2] or m[3] or "").lower()))
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags and texts of a page, in time proportional to its length."""
+    last = page.rfind(">")
+    for m in _TOKEN.finditer(page):
+        if m["text"] == "<" and _TAG.match(page, m.end()):  # a tag without an end
+            if m.end() < last:
+                yield from _PLAIN.finditer(page[: last + 1], m.start())
+            yield from _REST.finditer(page, max(last + 1, m.start()))
+            return
+        yield m
 
 
 def _classify(text: str, linked: int, furniture: bool, inside: bool) -> int:
@@ -76,6 +97,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     linked = links = articles = 0
     # open elements: name, whether furniture, container
     stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    still: Counter[str] = Counter()
 
     def end() -> None:
         nonlocal linked
@@ -87,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         if (text := m["text"]) is not None:
             held.append(text)
             if links:
@@ -111,10 +133,12 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                     articles += 1
                     container = articles
                 page_header = name == "header" and not container
-                stack.append((name, furniture or name in _FURNITURE or page_header or (name not in ("body", "html") and _marked(m["rest"])), container))
-            elif any(x[0] == name for x in stack[1:]):
-                while stack.pop()[0] != name:
-                    pass
+                stack.append((name, furniture or name in _FURNITURE or page_header or (name not in ("body", "html") and _marked(m["rest"], container > 0)), container))
+                still[name] += 1
+            elif still[name]:
+                while (gone := stack.pop()[0]) != name:
+                    still[gone] -= 1
+                still[name] -= 1
     end()
     return out
 
@@ -123,15 +147,19 @@ def main_text(page: str | None) -> str:
     """The text of the blocks that are main text, joined by one space; empty if there are none."""
     found = blocks(page or "")
     labels = [x[1] for x in found]
-    # nearest decided block of the same container on each side
-    for container in {x[2] for x in found}:
-        at = [i for i, x in enumerate(found) if x[2] == container]
-        decided = [i for i in at if found[i][1] != OPEN]
-        for i in at:
-            if labels[i] != OPEN:
-                continue
-            near = sorted((abs(i - j), -found[j][1]) for j in decided)  # equally near: text wins
-            labels[i] = -near[0][1] if near else (GOOD if container else BAD)
+    # nearest decided block of the same container on each side: (distance, label), by one sweep each way
+    near: list[list[tuple[int, int]]] = [[] for _ in found]
+    for places in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[int, int] = {}
+        for i in places:
+            _, label, container = found[i]
+            if label != OPEN:
+                last[container] = i
+            elif container in last:
+                near[i].append((abs(i - last[container]), -found[last[container]][1]))
+    for i, (_, label, container) in enumerate(found):
+        if label == OPEN:  # equally near: text wins
+            labels[i] = -min(near[i])[1] if near[i] else (GOOD if container else BAD)
     return " ".join(x[0] for x, label in zip(found, labels, strict=True) if label == GOOD)
 
 

@@ -22,6 +22,8 @@ BUCKETS = 1 << 16
 SCALE = 12.0
 #: Labelled rows that the classifier is fitted on; the first by a hash of doc_id.  A quarter of them calibrates.
 FIT_ROWS = 4000
+#: Bytes of text of the fitted rows, at most: later rows by the hash are left out, so the driver's features stay bounded.
+FIT_BYTES = 16 << 20
 #: The verdict is to keep at this calibrated probability of good quality or more.
 KEEP_AT = 0.3
 SYMBOLS = np.zeros(256, bool)
@@ -40,13 +42,14 @@ class QualityModel:
 
 
 class Grams:
-    """Hashed n-grams of a chunk of texts: of words (one and two) and of bytes (three and four)."""
+    """Hashed n-grams of a chunk of texts: of words (one and two) and of characters, that is code points (three and four)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
         self.starts, self.ends, self.bounds = word_spans(data, offsets)
         self.sums = prefix_hashes(data)
         self.hashes = span_hashes(self.sums, self.starts, self.ends)
+        self.char_offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])[offsets]
 
     def word_buckets(self) -> list[tuple[np.ndarray, int]]:
         one = (self.hashes >> U64(48)).astype(np.uint16)
@@ -54,11 +57,11 @@ class Grams:
         return [(one, 0), (two, 1)]
 
     def letter_buckets(self) -> list[tuple[np.ndarray, int]]:
-        wide = self.data.astype(np.uint32)
-        n = len(wide)
-        three = wide[: max(0, n - 2)] | (wide[1 : max(1, n - 1)] << np.uint32(8)) | (wide[2:] << np.uint32(16)) if n > 2 else wide[:0]
-        four = three[: max(0, n - 3)] | (wide[3:] << np.uint32(24)) if n > 3 else wide[:0]
-        return [((x * np.uint32(m) >> np.uint32(16)).astype(np.uint16), k) for x, m, k in ((three, 0x9E3779B1, 2), (four, 0x85EBCA77, 3))]
+        chars = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), "<u4").astype(U64)
+        n = len(chars)
+        three = chars[: n - 2] | (chars[1 : n - 1] << U64(21)) | (chars[2:] << U64(42)) if n > 2 else chars[:0]
+        four = three[:-1] * U64(0x9E3779B97F4A7C15) + chars[3:] if n > 3 else chars[:0]
+        return [((x * U64(m) >> U64(48)).astype(np.uint16), k) for x, m, k in ((three, 0x9FB21C651E98DF25, 2), (four, 0xD6E8FEB86659FD93, 3))]
 
     @staticmethod
     def means(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ class Grams:
 
     def logits(self, model: QualityModel) -> np.ndarray:
         out = np.full(len(self.offsets) - 1, model.bias)
-        for weights, begin, end, groups in ((model.words, self.bounds[:-1], self.bounds[1:], self.word_buckets()), (model.letters, self.offsets[:-1], self.offsets[1:], self.letter_buckets())):
+        for weights, begin, end, groups in ((model.words, self.bounds[:-1], self.bounds[1:], self.word_buckets()), (model.letters, self.char_offsets[:-1], self.char_offsets[1:], self.letter_buckets())):
             total = np.zeros(len(out))
             count = np.zeros(len(out))
             for buckets, shorter in groups:
@@ -86,7 +89,7 @@ class Grams:
         words, letters = self.word_buckets(), self.letter_buckets()
         for i in range(len(self.offsets) - 1):
             index, share = [], []
-            for base, groups, a, b in ((0, words, self.bounds[i], self.bounds[i + 1]), (BUCKETS, letters, self.offsets[i], self.offsets[i + 1])):
+            for base, groups, a, b in ((0, words, self.bounds[i], self.bounds[i + 1]), (BUCKETS, letters, self.char_offsets[i], self.char_offsets[i + 1])):
                 parts = [x[a : max(a, b - k)] for x, k in groups]
                 found, n = np.unique(np.concatenate(parts), return_counts=True)
                 index.append(found.astype(np.int32) + base)
@@ -143,16 +146,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int = 10) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int = 10, most_bytes: int = FIT_BYTES) -> QualityModel:
     """Logistic regression on ``rows`` labelled rows (quality 1 good, 0 bad), then Platt calibration on a quarter of them.
 
-    Rows are taken by a hash of doc_id.  Null labels or ids are left out;
+    Rows are taken by a hash of doc_id, as long as their texts have ``most_bytes`` in all; a text that is longer by itself is left out.  Null labels or ids are left out;
     of several labels for a doc_id the lowest counts, of several texts the
     first by hash.  If a class is missing, the model lets all texts pass.
     """
     small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sizes = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("size").alias("size"), F.xxhash64("doc_id").alias("at"))
+    found, total = [], 0
+    for row in sorted(sizes.collect(), key=lambda r: (r["at"], r["doc_id"])):
+        if total + (row["size"] or 0) <= most_bytes:
+            total += row["size"] or 0
+            found.append((row["doc_id"],))
+    chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame(found, chosen.select("doc_id").schema)), "doc_id", "left_semi")
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

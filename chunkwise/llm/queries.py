@@ -118,10 +118,16 @@ FROM p JOIN n ON n.id = p.item_id WHERE 100 * n_shared >= 80 * n""",
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM conversations),
 p AS (SELECT conv_id, turn, role, list_transform(l, lambda x: {'level': length(regexp_replace(regexp_extract(x, '^( ?>)+'), '[^>]', '', 'g')), 'body': regexp_replace(x, '^( ?>)+ ?', '')}) AS l FROM m),
 q AS (SELECT conv_id, turn, role, list_transform(l, lambda x, i: {'level': x.level, 'body': x.body, 'announces': regexp_matches(x.body, '^(On|Le|Am|El) .{0,200}:\s*$') AND coalesce(l[i + 1].level, 0) > x.level}) AS l FROM p),
-lines AS (SELECT DISTINCT conv_id, turn, x.level AS level, trim(regexp_replace(lower(x.body), '\s+', ' ', 'g'), ' ') AS norm FROM (SELECT conv_id, turn, unnest(l) AS x FROM q) WHERE NOT x.announces),
-first AS (SELECT conv_id, norm, min(turn) AS from_turn FROM lines WHERE level = 0 AND norm <> '' GROUP BY ALL),
-votes AS (SELECT conv_id, turn, from_turn, count(*) AS n FROM lines JOIN first USING (conv_id, norm) WHERE level = 1 AND from_turn < turn GROUP BY ALL),
-parent AS (SELECT conv_id, turn, arg_max(from_turn, n * 1000000 + from_turn) AS parent, sum(n) AS n_linked FROM votes GROUP BY ALL),
+n AS (SELECT conv_id, turn, list_transform(q.l, lambda x: CASE WHEN x.announces THEN '' ELSE trim(regexp_replace(lower(x.body), '\s+', ' ', 'g'), ' ') END) AS norm, q.l FROM q),
+k AS (SELECT conv_id, turn, norm, list_transform(l, lambda x, i: CASE WHEN norm[i] = '' THEN -1 ELSE x.level END) AS level FROM n),
+e AS (SELECT *, list_filter(range(1, len(level) + 1), lambda i: level[i] >= 0 AND coalesce(level[i - 1], -1) <> level[i]) AS a, list_filter(range(1, len(level) + 1), lambda i: level[i] >= 0 AND coalesce(level[i + 1], -1) <> level[i]) AS b FROM k),
+p1 AS (SELECT conv_id, turn, norm, level, unnest(a) AS a, unnest(b) AS b FROM e),
+p2 AS (SELECT DISTINCT conv_id, turn, level[a] AS level, array_to_string(norm[a:b], ' ') AS passage, list_distinct(norm[a:b]) AS said FROM p1),
+unit AS (SELECT conv_id, turn, level, passage, true AS whole, len(said) AS n, passage AS body FROM p2 UNION ALL SELECT conv_id, turn, level, passage, false, 1, unnest(said) FROM p2),
+first AS (SELECT conv_id, whole, body, level, min(turn) AS from_turn FROM unit GROUP BY ALL),
+found AS (SELECT u.conv_id, u.turn, u.level, u.passage, u.whole, u.n, f.from_turn FROM unit u JOIN first f ON u.conv_id = f.conv_id AND u.whole = f.whole AND u.body = f.body AND u.level = f.level + 1 AND f.from_turn < u.turn),
+votes AS (SELECT conv_id, turn, level, from_turn, sum(n)::BIGINT AS n FROM (SELECT * FROM found QUALIFY whole OR NOT bool_or(whole) OVER (PARTITION BY conv_id, turn, level, passage)) GROUP BY ALL),
+parent AS (SELECT conv_id, turn, arg_max(from_turn, (-level, n, from_turn)) AS parent, sum(n) AS n_linked FROM votes GROUP BY ALL),
 thread AS (
   SELECT DISTINCT m.conv_id, m.turn, 0 AS depth, format('{:08d}', m.turn) AS path FROM m ANTI JOIN parent USING (conv_id, turn)
   UNION ALL SELECT parent.conv_id, parent.turn, depth + 1, path || '/' || format('{:08d}', parent.turn) FROM thread JOIN parent ON parent.conv_id = thread.conv_id AND parent.parent = thread.turn)

@@ -218,6 +218,43 @@ def test_interval_tree_finds_all_repeats():
 # quality
 
 
+def test_letter_grams_are_of_characters():
+    texts = ["Añ漢b", "", "é", "añ漢b😀"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    grams = quality.Grams(np.frombuffer(data, np.uint8), offsets)
+    odd = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+    want = []
+    for t in texts:
+        c = [ord(x) for x in t]
+        three = [a | b << 21 | d << 42 for a, b, d in zip(c, c[1:], c[2:])]
+        four = [x * 0x9E3779B97F4A7C15 + d for x, d in zip(three, c[3:])]
+        want.append(sorted([(x * m % 2**64 >> 48) + quality.BUCKETS for g, m in zip((three, four), odd) for x in g]))
+    got = [sorted(int(b) for b in index if b >= quality.BUCKETS) for index, _ in grams.features()]
+    assert got == [sorted(set(w)) for w in want]
+
+
+def test_quality_probability_of_all_rows(spark, sf_dir, odd):
+    """The whole result of the rules against a plain walk over words and characters."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    texts = [r["text"] for r in docs.limit(60).collect()] + [t for (t,) in rows_of(odd, "text")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for d, p, failed, kept in rows_of(quality.quality_rules(df, model), "doc_id", "probability", "base_failed", "kept"):
+        data = (texts[d] or "").encode()
+        z = model.bias
+        for index, share in quality.Grams(np.frombuffer(data, np.uint8), np.array([0, len(data)])).features():
+            z += sum(quality.SCALE * float(s) * float((model.words if b < quality.BUCKETS else model.letters)[b % quality.BUCKETS]) for b, s in zip(index.tolist(), share.tolist()))
+        assert p == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -30, 30))), abs=1e-4)
+        assert kept == (not failed and p >= quality.KEEP_AT)
+
+
+def test_quality_fit_is_bounded_in_bytes(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    assert quality.fit_quality(docs, labels, most_bytes=0).words is None
+    assert quality.fit_quality(docs, labels, most_bytes=200_000).words is not None
+
+
 def test_quality_counts(odd, none):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     got = rows_of(quality.quality_rules(odd, quality.QualityModel()), "doc_id", *names, "base_failed", "kept")
@@ -297,6 +334,7 @@ def test_quotations(spark):
     assert [got[1, t]["depth"] for t in range(5)] == [0, 1, 2, 0, 0]
     assert got[1, 2]["path"] == "00000000/00000001/00000002" and got[1, 1]["n_quoted"] == 2 and got[1, 1]["n_linked"] == 2
     assert got[2, 0]["parent_turn"] is None and got[2, 0]["n_quoted"] == 1
+    assert got[None, None]["path"] == "null" and got[None, 0]["path"] == "00000000"
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
@@ -316,6 +354,24 @@ def test_nested_quotations(spark):
     assert [got[t]["depth"] for t in range(6)] == [0, 1, 2, 3, 0, 4]
 
 
+def test_passages_are_linked_as_a_whole(spark):
+    long = "\n".join(f"line {i} of a long message" for i in range(20000))
+    rows = [
+        (1, 0, "one two"),
+        (1, 1, "three four"),
+        (1, 2, "One two\nthree  four\n\nand more"),
+        (1, 3, "> one two three\n> four\nThe passage, wrapped anew"),
+        (1, 4, "> one two\n> three four\nThe passage, whole"),
+        (1, 5, "> three four\n> something else\nA mixed one"),
+        (1, 6, long),
+        (1, 7, "\n".join("> " + x for x in long.split("\n")) + "\nAll of it"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quotes.link_quotes(df).collect()}
+    assert [got[t]["parent_turn"] for t in range(8)] == [None, None, None, 2, 2, 1, None, 6]
+    assert [got[t]["n_linked"] for t in (3, 4, 5, 7)] == [2, 2, 1, 20000] and got[7]["reply"] == "All of it"
+
+
 def test_quotations_match_sql(spark, tmp_path):
     import duckdb
 
@@ -324,7 +380,8 @@ def test_quotations_match_sql(spark, tmp_path):
     for c in range(12):
         for t in range(6):
             quoted = [said[(c + t + k) % 6] for k in range(t % 3)]
-            rows.append((c, t, "user", "\n".join([f"{'> ' * (1 + k % 2)}{x}" for k, x in enumerate(quoted)] + [said[(c * t) % 6], f"own {c} {t}"])))
+            again = [f"> {x}" for x in rows[-1][3].split("\n")] if t == 5 or c % 3 == t % 3 == 1 else []
+            rows.append((c, t, "user", "\n".join([*again, *[f"{'> ' * (1 + k % 2)}{x}" for k, x in enumerate(quoted)], said[(c * t) % 6], f"own {c} {t}"])))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "conversations.parquet"))
     db = duckdb.connect()
@@ -358,6 +415,15 @@ def test_html(spark):
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got) and html.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_of_broken_and_very_long_pages():
+    story = "It was the best of the times and it was the worst of them, as it is said in the book of the year."
+    assert html.main_text(f"<article><div class=entry-header><h2>A title</h2></div><p>{story}</p><div class=related>Read this too</div></article>") == f"A title {story}"
+    assert html.main_text(f"<article><p>{story}</p><p>{story} <b 'c</p>") == f"{story} {story}"
+    for page in ("<a " * 50_000, "<!" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, '<a "' * 50_001 + "<p>" * 1000, "<script " * 20_000):
+        html.main_text(page)
+    assert len(html.main_text("<article>" + f"<p>tiny</p><p>{story}</p>" * 20_000)) == 20_000 * (len(story) + 6) - 1
+
+
 def test_html_of_all_pages(spark, sf_dir):
     import re
     from html import unescape
