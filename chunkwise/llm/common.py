@@ -66,6 +66,8 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = f"{scratch_root(spark)}/chunkwise/{label}-{uuid.uuid4().hex[:12]}"
     with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
         df.write.options(**options).parquet(path)
+    # executors keep broadcast tables until the driver's JVM has collected the plans that sent them
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = (path, atexit.register(lambda: _remove(spark, path)))
     return out
@@ -92,15 +94,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def plan_bytes(rows: DataFrame) -> int:
-    """What Catalyst takes for the size of ``rows``."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files and tables that ``rows`` are read from; what joins make of them is not foreseen."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def partitions(rows: DataFrame) -> int:
-    """Partitions for a shuffle of ``rows`` by a fixed number: the session's, or more where the plan's size asks for it."""
+    """Partitions for a shuffle of ``rows`` by a fixed number: the session's, or more where the size of their sources asks for it."""
     size, asked = plan_bytes(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # sizes of joins without statistics are products of their sides' and say nothing
-    return max(asked, min(-(-size // PARTITION_BYTES), 64 * asked)) if size < 1 << 50 else asked
+    # relations of unknown size count as endless
+    return max(asked, -(-size // PARTITION_BYTES)) if size < 1 << 60 else asked
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.Table]:
