@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ragged
-from .common import chunks, raw, small_batches
+from .common import chunks, give_back, raw, small_batches
 from .wordids import WordIds
 
 #: New words are merged together once their texts reach this many bytes.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: The memory of encoded words is emptied beyond this many, so a worker stays small.
 MOST_WORDS = 200_000
 _NONE = np.iinfo(np.int32).max
@@ -235,6 +235,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
             yield from results(held)
         memory.clear()  # a reused worker keeps no words of an earlier task
         _memory(vocabulary)[2].clear()
+        give_back()
 
     extra = ", ids binary, decoded string" if with_ids else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)

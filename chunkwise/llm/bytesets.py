@@ -47,7 +47,9 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hashes`` takes the hash of any slice."""
     sums = np.zeros(len(data) + 1, U64)
     _, down = powers(len(data))
-    np.cumsum(_VALUES[data] * down[: len(data)], out=sums[1:])
+    weighted = _VALUES[data]
+    weighted *= down[: len(data)]
+    np.cumsum(weighted, out=sums[1:])
     return sums
 
 

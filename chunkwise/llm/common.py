@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Arrow batches handed to Python hold at most this many rows, so very long texts stay affordable.
 ARROW_ROWS = 256
 #: Python gathers batches until it has about this many bytes of text, then works on them at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Shuffles by a fixed number of partitions give each about this much, as far as the plan's size is known.
 PARTITION_BYTES = 128 << 20
 
@@ -106,6 +107,13 @@ def partitions(rows: DataFrame) -> int:
     return max(asked, -(-size // PARTITION_BYTES)) if size < 1 << 60 else asked
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for later tasks, beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Arrow batches joined until ``column`` holds ``most`` bytes."""
     held: list[pa.RecordBatch] = []
@@ -119,6 +127,8 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    give_back()
 
 
 def raw(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
