@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 A text's set holds the 64-bit hashes of its distinct five-word shingles.
-Texts with the same set are one class.  Similar classes form groups; the
-matrix says which tokens (shingles) each group has in its members' prefixes:
+Texts with the same set are one class.  Similar classes form groups: parts of
+a large component, or classes of about the same size that share their most
+crowded token, so that what a common passage gives is asked group by group
+and not class by class; the matrix says which tokens (shingles) each group has in its members' prefixes:
 of the tokens in order of frequency, the rarest ``n - ceil(t * n) + 1``, one of
-which any two similar sets share.  A query meets the groups of other
-components that share as many prefix tokens as their sizes ask for; only
+which any two similar sets share.  A query meets the groups
+that share as many prefix tokens as their sizes ask for; only
 groups whose token union holds at least ``t`` of the query are opened, and
 their members compared.
 
@@ -167,36 +169,38 @@ def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def open_groups(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Links (u, v) between queries and members of the groups they are paired with.
 
-    ``pairs`` (q, g), ``members`` (g, rep), ``texts`` (rep, text).  A group's
+    ``pairs`` (q, g, component), ``members`` (g, rep, component), ``texts`` (rep, text).  A query gets one link
+    to each other component of a group that it is similar to.  A group's
     members come once for every QUERIES of its queries, ahead of them, so no
     task gathers a popular group's queries and no pair carries a group.
     """
     copies = pairs.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
-    asked = pairs.join(copies, "g").select("g", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("rep"))
-    held = members.join(copies, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rep")
-    rows = asked.unionByName(held).join(texts, "rep").select("g", "copy", "kind", "rep", "text")
+    asked = pairs.join(copies, "g").select("g", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("rep"), "component")
+    held = members.join(copies, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rep", "component")
+    rows = asked.unionByName(held).join(texts, "rep").select("g", "copy", "kind", "rep", "component", "text")
     rows = rows.repartition(partitions(rows), "g", "copy").sortWithinPartitions("g", "copy", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, union = None, [], None
         for batch in batches:
             links = []
-            for g, copy, kind, rep, s in zip(*(batch[c].to_pylist() for c in ("g", "copy", "kind", "rep")), _sets_of(batch["text"]), strict=True):
+            for g, copy, kind, rep, component, s in zip(*(batch[c].to_pylist() for c in ("g", "copy", "kind", "rep", "component")), _sets_of(batch["text"]), strict=True):
                 if (g, copy) != at:
                     at, group, union = (g, copy), [], None
                 if kind == 0:
-                    group.append((rep, s))
+                    group.append((rep, component, s))
                     continue
                 if union is None:
-                    union = group[0][1] if len(group) == 1 else np.unique(np.concatenate([x for _, x in group]))
+                    union = group[0][2] if len(group) == 1 else np.unique(np.concatenate([x for _, _, x in group]))
                 if not len(union) or 100 * _shared(s, union) < threshold * len(s):
                     continue
-                for other, x in group:
-                    if other != rep and 100 * min(len(x), len(s)) >= threshold * max(len(x), len(s)):
+                linked = {component}
+                for other, of, x in group:
+                    if of not in linked and 100 * min(len(x), len(s)) >= threshold * max(len(x), len(s)):
                         both = _shared(s, x)
                         if 100 * both >= threshold * (len(x) + len(s) - both):
                             links.append((rep, other))
-                            break  # the group's members are linked among themselves
+                            linked.add(of)
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
 
     small_batches(pairs.sparkSession)
@@ -248,25 +252,35 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     ids = star.select(F.col("q").alias("rep")).unionByName(star.select(F.col("g").alias("rep"))).distinct()
     keys = reps.select("rep", "s1")
     texts = written(needed_texts(docs, keys.join(ids, "rep")), "needed")
-    links = written(open_groups(star, star.select("g", F.col("g").alias("rep")).distinct(), texts, threshold), "links")
+    leaders = star.select("g", F.col("g").alias("rep"), F.lit(0).alias("component")).distinct()
+    links = written(open_groups(star.withColumn("component", F.lit(1)), leaders, texts, threshold), "links")
 
     # second round: across the components found so far, by the token-group matrix
     found = components(links)
     placed = shared.select("token", "rep", "n").join(found.withColumnRenamed("u", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_tokens = written(placed.join(mixed, "token"), "open-tokens")
-    size = open_tokens.select("rep", "component", "n").distinct()
-    room = size.groupBy("component").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    grouped = size.join(room, "component").select("rep", "component", "n", F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.col("groups"))).alias("g"))
+    crowd = open_tokens.groupBy("token").agg(F.count("*").alias("k"))
+    home = open_tokens.join(crowd, "token").groupBy("rep", "component", "n").agg(F.max(F.struct("k", "token"))["token"].alias("home"))
+    home = written(home, "homes")
+    room = home.groupBy("component").agg(F.count("*").alias("classes"))
+    near = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold))  # sizes that may be similar, or next to it
+    kind = F.when(F.col("classes") >= GROUP, F.xxhash64(F.lit(0), "component")).otherwise(F.xxhash64(F.lit(1), "home", near))
+    placed = home.join(room, "component").select("rep", "component", "n", kind.alias("kind"))
+    parts = placed.groupBy("kind").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    grouped = placed.join(parts, "kind").select("rep", "component", "n", F.xxhash64("kind", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("g"))
     grouped = written(grouped, "groups")
     spans = grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = open_tokens.select("token", "rep").join(grouped.select("rep", "g", "component"), "rep").select("token", "g", F.col("component").alias("of")).distinct().join(spans, "g")
+    owned = written(open_tokens.select("token", "rep", "n").join(grouped.select("rep", "g"), "rep"), "owned-tokens")
+    matrix = owned.groupBy("token", "g").agg(F.count("*").alias("classes")).join(spans, "g")
     wide = (F.lit(100) * F.col("n") >= F.lit(threshold) * F.col("least")) & (F.lit(100) * F.col("most") >= F.lit(threshold) * F.col("n"))
-    pairs = open_tokens.join(matrix, "token").where((F.col("of") < F.col("component")) & wide)
+    # of two groups the one of the lesser id asks; within its own group a query's token counts if others have it
+    asks = (F.col("g") > F.col("own")) | ((F.col("g") == F.col("own")) & (F.col("classes") > 1))
+    pairs = owned.withColumnRenamed("g", "own").join(matrix, "token").where(asks & wide)
     pairs = pairs.groupBy(F.col("rep").alias("q"), "g", "n", "least", "most").agg(F.count("*").alias("common"))
     pairs = pairs.where(F.col("common") >= _least_share("n", "least", "most", threshold)).select("q", "g")
-    pairs = written(pairs, "pairs")
-    members = grouped.select("g", "rep").join(pairs.select("g").distinct(), "g", "left_semi")
+    pairs = written(pairs.join(grouped.select(F.col("rep").alias("q"), "component"), "q"), "pairs")
+    members = grouped.select("g", "rep", "component").join(pairs.select("g").distinct(), "g", "left_semi")
     ids = pairs.select(F.col("q").alias("rep")).unionByName(members.select("rep")).distinct().join(texts.select("rep"), "rep", "left_anti")
     more = written(needed_texts(docs, keys.join(ids, "rep")), "needed")
     links = links.unionByName(open_groups(pairs, members, texts.unionByName(more), threshold))
