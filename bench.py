@@ -1,4 +1,6 @@
-"""Wall time of the headline queries: one JSON line.  BENCH_SF_DIR is the folder of the tables, BENCH_CPUS the cores."""
+"""Wall time of the headline queries: one JSON line.  BENCH_SF_DIR is the folder of the tables, BENCH_CPUS the cores.
+
+Headline queries are timed after a first run, op* and the pipeline in their only run."""
 
 from __future__ import annotations
 
