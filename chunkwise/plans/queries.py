@@ -718,9 +718,9 @@ def round_robin(spark, sf):
 
 @query
 def mvae_scores(spark, sf):
-    from chunkwise.operators.model import score_rows, train
+    from chunkwise.operators.model import score_rows, train_averaged
 
     rows = X.measurements(spark, sf)
     ready = scale.scaled(rows, X.FEATURES, scale.scaler(rows.where("l_returnflag = 'N'"), X.FEATURES), fill=True)
-    model = train(ready.where("l_returnflag = 'N'"), X.FEATURES[:2], X.FEATURES[2:])
+    model = train_averaged(ready.where("l_returnflag = 'N'"), X.FEATURES[:2], X.FEATURES[2:])
     return score_rows(ready, model, ["l_orderkey", "l_linenumber"])

@@ -188,6 +188,38 @@ def test_training_goes_over_all_rows(spark, monkeypatch):
     model.train(df, ["a", "b"], ["c"], epochs=2, val=df.limit(0))
 
 
+def test_averaged_training(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(model, "AVERAGED_ROWS", 16)
+    rows = [(1.0 if i < 40 else float(i), float(i % 3), float(i % 2), True, True, i % 3 > 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, a__seen boolean, b__seen boolean, c__seen boolean")
+    got = model.train_averaged(df, ["a", "b"], ["c"], epochs=1, batch=8)
+    parts = [f.drop(columns="p") for _, f in model._dealt(df, df.columns).withColumn("p", F.spark_partition_id()).toPandas().groupby("p")]
+    assert len(parts) == 4 and sum(map(len, parts)) == 60 and max(map(len, parts)) < 20  # equal rows are dealt out too
+    sums = {}
+    for p, frame in enumerate(parts):
+        assert len(frame) > 8
+        m = model.Scorer(["a", "b"], ["c"]).start(42)
+        state = {k: {n: (0 * v, 0 * v) for n, v in net.values.items()} for k, net in m.nets.items()}
+        x, mask = model._arrays(frame, m)
+        random = np.random.default_rng([42, 0, p, 0])
+        for step, some in enumerate(np.array_split(random.permutation(len(frame)), 2), 1):
+            at = lambda d: {k: v[some] for k, v in d.items()}  # noqa: B023, E731
+            model._step(m, state, m.loss(at(x), at(mask), random.standard_normal((len(some), m.latent)), 0.1, random)[1], step, 1e-3, 1e-4)
+        for k, net in m.nets.items():
+            for n, v in net.values.items():
+                sums[k, n] = sums.get((k, n), 0) + v * len(frame) / 60
+    assert all(np.allclose(got.nets[k].values[n], v) for (k, n), v in sums.items())
+
+    more = model.train_averaged(df, ["a", "b"], ["c"], epochs=4, val=df.limit(20))
+    mean = lambda m: m.scores(*model._arrays(df.limit(20).toPandas(), m))["joint_score"].mean()
+    assert mean(more) < mean(model.Scorer(["a", "b"], ["c"]).start(42))
+    assert all((more.nets[k].values[n] == v).all() for k, net in model.train_averaged(df, ["a", "b"], ["c"], epochs=4, val=df.limit(20)).nets.items() for n, v in net.values.items())
+    first = model.Scorer(["a", "b"], ["c"]).start(42)
+    assert (model.train_averaged(df.limit(0), ["a", "b"], ["c"]).nets["enc_v"].values["w0"] == first.nets["enc_v"].values["w0"]).all()
+
+
 # sources and sinks
 
 
