@@ -17,3 +17,10 @@ def session(name: str = "chunkwise", **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def small_batches(spark: SparkSession, rows: int = 16) -> None:
+    """At most ``rows`` rows a batch of Arrow from here on, for rows that hold files."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

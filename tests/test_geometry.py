@@ -66,3 +66,9 @@ def test_plugins(spark):
         plugins.apply(df, "sharpness", "other", ["video_id"])
     with pytest.raises(ValueError):
         plugins.register("smell", "x", loud)
+
+
+def test_speech_options():
+    assert plugins.speech_options("en", english_only=True) == {"condition_on_prev_tokens": False}
+    assert plugins.speech_options("en", beams=40, repetition_penalty=1.15, no_repeat=3) == {"num_beams": 40, "condition_on_prev_tokens": False, "repetition_penalty": 1.15, "no_repeat_ngram_size": 3, "task": "transcribe", "language": "en"}
+    assert plugins.speech_options("") == {"condition_on_prev_tokens": False, "task": "transcribe"}
