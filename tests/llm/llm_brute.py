@@ -1,8 +1,11 @@
 """Plain versions of the operators, over all pairs or all positions, to test against."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -86,3 +89,32 @@ def boilerplate(rows, min_sites):
         keep = [x for i, x in enumerate(lines) if not ((y := x.strip(" ")) and len(sites[y]) >= min_sites and first[y] != (d is not None, d or 0, i))]
         out.append((d, len(lines), None if t is None else "\n".join(keep)))
     return out
+
+
+def language_vector(text, letter_vector):
+    """The bundle of a text's letter trigrams, one after the other; None without a letter."""
+    seq = [0]
+    for ch in text or "":
+        low = ch.lower() if ord(ch) <= 0xFFFF else ch
+        letter = ord(low if len(low) == 1 else ch) if ch.isalpha() else 0
+        if letter or seq[-1]:
+            seq.append(letter)
+    seq.append(0)
+    vectors = [np.roll(letter_vector(a), 2).astype(int) * np.roll(letter_vector(b), 1) * letter_vector(c) for a, b, c in zip(seq, seq[1:], seq[2:]) if b]
+    return sum(vectors) if vectors else None
+
+
+def languages(rows, letter_vector):
+    """doc_id: (held_out, language, score) of (doc_id, text, lang) rows; learns from those that aren't held out."""
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    vectors = {d: language_vector(t, letter_vector) for d, t, _ in rows}
+    sums = {}
+    for d, _, lang in rows:
+        if lang is not None and not held[d] and vectors[d] is not None:
+            sums[lang] = sums.get(lang, 0) + vectors[d]
+    out = {}
+    for d, v in vectors.items():
+        cosines = [(float(v @ p) / np.linalg.norm(v) / np.linalg.norm(p), lang) for lang, p in sorted(sums.items())] if v is not None else []
+        score, lang = max(cosines, key=lambda x: x[0], default=(0.0, "und"))
+        out[d] = (held[d], lang, max(0.0, score))
+    return out

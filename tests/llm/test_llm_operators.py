@@ -112,6 +112,18 @@ def test_languages(spark, sf_dir, odd, none):
     assert {r[0] for r in rows_of(langid.predict_languages(odd, langid.learn_languages(none, F.lit(True))), "lang_pred")} == {"und"}
 
 
+def test_language_query_against_brute_force(spark, tmp_path, sf_dir, odd):
+    """All rows of the query: the tables' texts and odd ones, whose languages are in part null."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    more = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", "lang")
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute.languages(rows_of(docs.unionByName(more), "doc_id", "text", "lang"), langid.letter_vector)
+    got = {d: x for d, *x in rows_of(queries.op2_language_id(spark, str(tmp_path)), "doc_id", "held_out", "lang_pred", "score")}
+    assert set(got) == set(want)
+    for d, (held, lang, score) in want.items():
+        assert got[d][:2] == [held, lang] and got[d][2] == pytest.approx(score, abs=1e-5), d
+
+
 def test_bundle_is_the_sum_of_bound_vectors():
     text = "Añb c"
     data = np.frombuffer(text.encode(), np.uint8)
