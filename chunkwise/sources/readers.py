@@ -16,7 +16,7 @@ MODES = ("genuine", "infer")
 # Suffixes of recordings.
 VIDEO_SUFFIXES = ["mp4", "avi", "mov", "mkv", "webm", "m4v"]
 # The columns of a manifest.
-MANIFEST = "video_path local_path usage split label video_fake audio_fake generative_method audio_generative_method open_set_model open_set_language language status error".split()
+MANIFEST = ["video_path", "local_path", "usage", "split", "label", "video_fake", "audio_fake", "generative_method", "audio_generative_method", "open_set_model", "open_set_language", "language", "status", "error"]
 
 
 def report_schema() -> str:

@@ -212,6 +212,10 @@ def test_averaged_training(spark, monkeypatch):
                 sums[k, n] = sums.get((k, n), 0) + v * len(frame) / 60
     assert all(np.allclose(got.nets[k].values[n], v) for (k, n), v in sums.items())
 
+    monkeypatch.setattr(model, "_TASKS", 40)  # sums are added up by tasks first
+    again = model.train_averaged(df, ["a", "b"], ["c"], epochs=1, batch=8)
+    assert all(np.allclose(v, again.nets[k].values[n]) for k, net in got.nets.items() for n, v in net.values.items())
+
     more = model.train_averaged(df, ["a", "b"], ["c"], epochs=4, val=df.limit(20))
     mean = lambda m: m.scores(*model._arrays(df.limit(20).toPandas(), m))["joint_score"].mean()
     assert mean(more) < mean(model.Scorer(["a", "b"], ["c"]).start(42))
