@@ -18,17 +18,15 @@ def _types(df: DataFrame, keys: list[str]) -> str:
 
 
 def scaled_frames(faces: bytes | None, landmarks: bytes | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The frames of a slide with their landmarks in pixels, as many as there are of both; none if a file can't be read or has under two faces."""
+    """The frames of a slide with their landmarks in pixels, as many as there are of both; none if a file can't be read, isn't of images and points, or has under two faces."""
     images, points = npy.frame_list(faces), npy.frame_list(landmarks)
-    if not images or not points or len(images) < 2 or images[0].ndim < 2:
+    if not images or not points or len(images) < 2:
+        return []
+    pairs = [(image, p[0] if p.ndim == 3 and len(p) else p) for image, p in zip(images, points, strict=False)]
+    if not all(image.ndim in (2, 3) and image.size and image.dtype.kind in "uif" and p.ndim == 2 and p.shape[1] > 1 and p.dtype.kind in "uif" for image, p in pairs):
         return []
     size = np.array(images[0].shape[1::-1], np.float32)
-    out = []
-    for image, found in zip(images, points, strict=False):
-        p = np.asarray(found, np.float32)
-        p = p[0] if p.ndim == 3 else p
-        out.append((image, p[:, :2] * size))
-    return out
+    return [(image, p.astype(np.float32)[:, :2] * size) for image, p in pairs]
 
 
 def frame_measures(slides: DataFrame, keys: list[str], faces: str = "faces", landmarks: str = "landmarks") -> DataFrame:

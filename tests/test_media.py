@@ -145,7 +145,7 @@ def test_measures_of_slides(spark):
     random = np.random.default_rng(5)
     faces = [face(random) for _ in range(3)]
     images, points = saved(np.stack([f for f, _ in faces])), saved(np.stack([p / [40, 48] for _, p in faces]))
-    rows = [("v", 0, images, points), ("v", 1, images, saved(np.zeros((1, 468, 2)))), ("v", 2, b"junk", points), ("v", 3, None, None), ("v", 4, saved(np.stack([faces[0][0]])), points)]
+    rows = [("v", 0, images, points), ("v", 1, images, saved(np.zeros((1, 468, 2)))), ("v", 2, b"junk", points), ("v", 3, None, None), ("v", 4, saved(np.stack([faces[0][0]])), points), ("v", 5, images, saved(np.zeros(9))), ("v", 6, saved(np.zeros((2, 0, 4))), points), ("v", 7, images, saved(np.array(["a", "b"])))]
     got = media.frame_measures(spark.createDataFrame(rows, "video_id string, slide int, faces binary, landmarks binary"), ["video_id", "slide"])
     found = {(r["slide"], r["frame_idx"]): r for r in got.collect()}
     assert set(found) == {(0, 0), (0, 1), (0, 2), (1, 0)}
