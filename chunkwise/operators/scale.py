@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from chunkwise import spec
 
-from .prefix import exact_percentiles, fitted, running_sums
+from .prefix import at_most, blocks, exact_percentiles, fitted, values_at
 
 
 def observed(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -25,19 +26,29 @@ def baseline(rows: DataFrame, names: list[str]) -> DataFrame:
     return out.select("feature", "n", "mean", "std", *[F.col("percentiles")[i].alias(p) for i, p in enumerate(marks)])
 
 
+def _rank_counts(n: int) -> list[int]:
+    """For each rank from 1 to 100 how many of ``n`` values must be at most a value for it to have that rank."""
+    out = []
+    for k in range(1, 101):
+        c = max(0, (2 * k - 1) * n // 200 - 1)
+        while round(100.0 * c / n) < k:
+            c += 1
+        out.append(c)
+    return out
+
+
 def ranks_in_baseline(rows: DataFrame, base: DataFrame) -> DataFrame:
     """Rows (feature, value, ...) with ``percentile_rank`` among the baseline's (feature, value); 50 without a baseline.
 
-    Equal values are counted first, and their running counts taken by ranges, so no feature and no baseline is gathered.
+    A rank is reached at one of the baseline's values, so a feature has a hundred limits, worked out at once, and
+    a rank is the number of limits that a value reaches: no row of either side is gathered or shuffled by its value.
     """
-    counts = base.groupBy("feature", "value").agg(F.count("*").alias("__n"))
-    asked = rows.select("feature", "value").where("value is not null").distinct().withColumn("__n", F.lit(0).cast("long"))
-    merged = counts.unionByName(asked).groupBy("feature", "value").agg(F.sum("__n").alias("__n"))
-    below = running_sums(merged, "value", {"__before": "__n"}, by=["feature"]).select("feature", "value", (F.col("__before") + F.col("__n")).alias("__below"))
-    totals = base.groupBy("feature").agg(F.count("*").alias("__total"))  # a row for each feature
-    rank = F.when(F.coalesce("__total", F.lit(0)) == 0, 50).otherwise(F.bround(F.try_divide(F.lit(100.0) * F.col("__below"), "__total")).cast("int"))
-    met = rows.join(below, ["feature", "value"], "left").join(F.broadcast(totals), "feature", "left")
-    return met.withColumn("percentile_rank", F.when(F.col("value").isNotNull(), rank)).drop("__below", "__total")
+    found = values_at(base, "value", lambda n: [c - 1 for c in _rank_counts(n)], ["feature"])
+    limits = [(*g, blocks([v[c - 1] for c in _rank_counts(n)])) for g, (n, v) in found.items()]
+    few = base.sparkSession.createDataFrame(limits, StructType([StructField("feature", base.schema["feature"].dataType), StructField("__limits", ArrayType(ArrayType(DoubleType())))]))
+    met = rows.join(F.broadcast(few), "feature", "left")  # a row for each feature
+    rank = F.when(F.col("__limits").isNull(), 50).otherwise(at_most("__limits", F.col("value").cast("double")))
+    return met.withColumn("percentile_rank", F.when(F.col("value").isNotNull(), rank)).drop("__limits")
 
 
 def scaler(rows: DataFrame, names: list[str]) -> DataFrame:

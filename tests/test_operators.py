@@ -1,6 +1,7 @@
 """Operators on hand-made rows, the model, sources and sinks, and streams."""
 
 import json
+import math
 import wave
 
 import numpy as np
@@ -318,3 +319,45 @@ def test_exact_percentiles(spark):
     [every] = exact_percentiles(df, "v", shares).collect()
     assert every["percentiles"] == pytest.approx(list(np.quantile(np.concatenate(list(data.values())), shares)))
     assert exact_percentiles(df.where("g = 'd'"), "v", shares).count() == 0
+
+
+def test_percentiles_of_equal_neighbours_are_their_value(spark):
+    """A weighted sum of two equal numbers may be rounded to another, and then rows with that score count as over the threshold."""
+    from chunkwise.operators.prefix import exact_percentiles
+
+    odd = next(v for v in (math.log(i) for i in range(2, 9999)) if (1 - 0.37) * v + 0.37 * v < v)
+    rows = spark.createDataFrame([(odd,), (odd,)], "s double")
+    assert exact_percentiles(rows, "s", [0.37]).first()["percentiles"] == [odd]
+
+
+def test_order_statistics_in_many_parts(spark, monkeypatch):
+    """Parts are cut again until they are small; infinities, NaN, outliers and equal values keep their places."""
+    from chunkwise.operators import prefix
+
+    random = np.random.default_rng(3)
+    values = np.concatenate([random.normal(size=3000), random.normal(size=50) * 1e12, np.repeat(0.25, 900), [math.inf, -math.inf, math.nan, math.nan, 1e-300]])
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 2.0), ("c", None), (None, 1.0)], "g string, v double")
+    monkeypatch.setattr(prefix, "_FEW", 20)
+    got = prefix.values_at(df, "v", lambda n: range(0, n, 7), ["g"])
+    assert {g for (g,) in got} == {"a", "b"}
+    want = np.sort(values)
+    assert got["a",][0] == len(values) and np.array_equal([got["a",][1][p] for p in range(0, len(values), 7)], want[::7], equal_nan=True)
+    assert got["b",] == (1, {0: 2.0})
+
+
+def test_running_sums_ask_their_sketch_once(spark):
+    """Two runs of a sketch may differ, so ranges are cut at literal ends."""
+    df = spark.createDataFrame([(float(i), 1) for i in range(50)], "o double, n int")
+    assert "percentile_approx" not in running_sums(df, "o", {"before": "n"})._jdf.queryExecution().toString()
+    assert "percentile_approx" not in running_sums(df.withColumn("g", F.lit(1)), "o", {"before": "n"}, by=["g"])._jdf.queryExecution().toString()
+
+
+def test_ranks_need_no_shuffle_by_value(spark):
+    """Ranks equal their definition, half to even, and rows meet only the few limits of their feature."""
+    base = [1.0] * 3 + [2.0] * 5 + [3.5] * 1 + [7.0] * 191
+    asked = [None, 0.0, 1.0, 1.5, 2.0, 3.0, 3.5, 6.9, 7.0, 8.0]
+    rows = spark.createDataFrame([("f", v) for v in asked] + [("g", 1.0)], "feature string, value double")
+    found = scale.ranks_in_baseline(rows, spark.createDataFrame([("f", v) for v in base], "feature string, value double"))
+    got = {(r["feature"], r["value"]): r["percentile_rank"] for r in found.collect()}
+    assert got == {("f", v): None if v is None else round(100.0 * sum(b <= v for b in base) / len(base)) for v in asked} | {("g", 1.0): 50}
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
