@@ -361,3 +361,24 @@ def test_ranks_need_no_shuffle_by_value(spark):
     got = {(r["feature"], r["value"]): r["percentile_rank"] for r in found.collect()}
     assert got == {("f", v): None if v is None else round(100.0 * sum(b <= v for b in base) / len(base)) for v in asked} | {("g", 1.0): 50}
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gelu_and_a_step_in_one_go():
+    """GELU and its slope by the grid equal their definition; a step of all arrays of a net at once equals AdamW one by one."""
+    x = np.concatenate([np.random.default_rng(0).normal(size=2000) * 4, [-40.0, -9.0, 0.0, 8.9999, 9.0, 40.0]])
+    cdf = np.array([math.erfc(-v / math.sqrt(2)) / 2 for v in x])
+    y, slope = model.gelu(x)
+    assert np.abs(y - x * cdf).max() < 1e-13 and np.abs(slope - cdf - x * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)).max() < 1e-13
+    m = model.Scorer(["a", "b"], ["c"]).start(1)
+    before = {k: dict(net.values) for k, net in m.nets.items()}
+    random = np.random.default_rng(2)
+    state = {k: {n: (random.random(v.shape), random.random(v.shape)) for n, v in net.values.items()} for k, net in m.nets.items()}
+    moments = {k: dict(s) for k, s in state.items()}
+    grads = {k: {n: random.normal(size=v.shape) for n, v in net.values.items()} for k, net in m.nets.items()}
+    model._step(m, state, grads, 3, 1e-3, 1e-4)
+    for k, net in m.nets.items():
+        for n, v in net.values.items():
+            g, (a, b) = grads[k][n], moments[k][n]
+            a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
+            assert np.allclose(v, before[k][n] * (1 - 1e-7) - 1e-3 * (a / (1 - 0.9**3)) / (np.sqrt(b / (1 - 0.999**3)) + 1e-8), rtol=1e-12)
+            assert np.allclose(state[k][n][0], a) and np.allclose(state[k][n][1], b)
