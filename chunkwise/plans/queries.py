@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -414,9 +415,11 @@ def _chunk_scores(spark, sf) -> DataFrame:
     """Chunks of users with flicker features, scored by the mean square of their scaled features, with the threshold."""
     flick = features.flicker(X.chunk_frames(spark, sf), ["user_id", "chunk_idx", "chunk_id", "start_sec", "end_sec"], ["t", "event_id"], "value")
     names = ["mean_value", "max_flicker", "flicker_variance"]
+    flick.persist(StorageLevel.MEMORY_AND_DISK)  # while it is fitted: both fits read it several times
     ready = scale.scaled(flick, names, scale.scaler(flick, names), fill=True)
     rows = ready.withColumn("score", F.round(score.masked_mean_square(names, [f"{n}__seen" for n in names]), 6))
     limit = fitted(exact_percentiles(rows, "score", [0.95]).select(F.round(F.col("percentiles")[0], 6).alias("threshold")))
+    flick.unpersist()
     return rows.join(F.broadcast(limit)).select("user_id", "chunk_id", "start_sec", "end_sec", "score", "threshold", S.level(S.normalized_score("score", "threshold")).alias("level"))
 
 
